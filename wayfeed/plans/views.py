@@ -157,7 +157,7 @@ def departures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_DEPARTURES = f"""{SQL_TRANSIT},
+SQL_DEPARTURES_ONLY = f"""
 departures AS (
   SELECT operating_day, route, 'Route ' || route AS route_name, direction, journey_id, vehicle_id, stop_id,
          CASE WHEN stop_id <> '27' THEN 'Stop ' || stop_id END AS stop_name,
@@ -166,6 +166,7 @@ departures AS (
          "at" AS departed_at, {sql_local('"at"')} AS departed_at_local, scheduled_departure, lateness_s
   FROM transit
 )"""
+SQL_DEPARTURES = f"{SQL_TRANSIT}, {SQL_DEPARTURES_ONLY}"
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:

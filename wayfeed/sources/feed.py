@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from ..functions.clock import instant
 from ..operators.ordered import with_running_sum
@@ -122,15 +123,17 @@ def heartbeat_ledger(events: DataFrame, sessions: DataFrame, every_s: int = HEAR
     )
 
 
-def record_by_minute(recorded: DataFrame, path: str) -> None:
-    """Write a feed as JSON lines, one folder per minute received.
+def record_by_minute(recorded: DataFrame, path: str, unit: str = "minute") -> None:
+    """Write a feed as JSON lines, one folder per minute (or other ``unit``) received.
 
-    Rows of a minute are spread over tasks by a hash of their payload, so a
-    busy minute is several files instead of one long task.
+    Rows stay in the tasks that read them, so a busy minute is several files
+    instead of one long task.
     """
+    name = F.date_format(F.date_trunc(unit, "received_at"), "yyyyMMdd'T'HHmm")
     (
-        recorded.withColumn("minute", F.date_format(F.date_trunc("minute", "received_at"), "yyyyMMdd'T'HHmm"))
+        recorded.withColumn("minute", name)
         .write.mode("append")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
         .partitionBy("minute")
         .json(path)
     )
@@ -138,12 +141,13 @@ def record_by_minute(recorded: DataFrame, path: str) -> None:
 
 def read_recording(spark: SparkSession, path: str) -> DataFrame:
     """A recording made by :func:`record_by_minute`; the minute folders prune a time range."""
-    return spark.read.schema(RECORDED.simpleString()[7:-1].replace(":", " ") + ", minute string").json(path)
+    schema = StructType([*RECORDED.fields, StructField("minute", StringType())])
+    return spark.read.schema(schema).json(path)
 
 
 def read_bronze(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """The append-only raw table; whole old date partitions may have been dropped."""
-    schema = ENVELOPE.add("received_date", "date")
+    schema = StructType([*ENVELOPE.fields, StructField("received_date", DateType())])
     reader = (spark.readStream if streaming else spark.read).schema(schema)
     return reader.option("ignoreMissingFiles", True).parquet(path)
 
