@@ -2,6 +2,6 @@
 
 from .registry import ORACLES, QUERIES
 
-from . import coverage, departures, feed, fleet, headway, reports  # noqa: F401,E402
+from . import advice, coverage, departures, feed, fleet, headway, reports, streams  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]
