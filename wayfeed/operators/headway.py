@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import instant, seconds, whole_seconds
 from ..functions.status import natural_route_list, route_order
-from .ordered import join_null_safe, with_previous
+from .ordered import join_null_safe, with_neighbour_instant, with_previous
 
 # A planned gap beyond an hour is missing data, not a plan; the default Bunching share.
 MAX_PLANNED_GAP_S = 3600
@@ -26,9 +26,7 @@ def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: i
     """
     scheduled = dep.where(F.col("scheduled_departure").isNotNull())
     tie = [c for c in ("departed_at", "vehicle_id", "journey_id") if c in dep.columns]
-    ahead = with_previous(
-        scheduled, PLACE, "scheduled_departure", {"__before": F.col("scheduled_departure")}, span_s, tie
-    )
+    ahead = with_neighbour_instant(scheduled, PLACE, "scheduled_departure", "__before", span_s, tie=tie)
     gap = whole_seconds(F.col("__before"), F.col("scheduled_departure"))
     return ahead.withColumn("scheduled_gap_s", F.when((gap > 0) & (gap <= max_gap_s), gap)).drop("__before")
 

@@ -2,13 +2,15 @@
 
 A plain ``lag(..) OVER (PARTITION BY stop ORDER BY ts)`` sorts all rows of a
 stop in one task, so one busy stop (or session, or vehicle) stalls the job.
-Here a group is cut into time spans: the window runs per (keys, span), and the
-value that has to cross a span border comes from a table with one row per
-(keys, span), which is built with a map-side combined aggregate.  The result
-equals the plain window; only the size of a task's group changes.
-
-``order`` must be a timestamp column; ``tie`` columns break its ties, so the
-result does not depend on how rows are spread over tasks.
+Here a group is cut into time spans and the window runs per (keys, span).  What
+has to cross a span border is found first, by an aggregate with one row per
+(keys, span) that is combined on the map side, and is sent into the span that
+needs it as one extra row, which the window sees first and which is dropped
+afterwards.  The rows themselves are shuffled and sorted once and joined with
+nothing.  The result equals the plain window.
+
+``order`` must be a timestamp column without NULLs; ``tie`` columns break its
+ties, so the result does not depend on how rows are spread over tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = "__span"
+SPAN, VALUES, IS_ROW = "__span", "__values", "__is_row"
 
 
 def span_of(ts: Column, span_s: int) -> Column:
@@ -29,13 +31,22 @@ def span_of(ts: Column, span_s: int) -> Column:
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which NULL keys match each other; keeps the left keys."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    condition = None
+    condition = F.lit(True)
     for k in keys:
-        match = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        condition = match if condition is None else condition & match
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _cut(df: DataFrame, order: str, span_s: int) -> DataFrame:
+    return df.withColumns({SPAN: span_of(F.col(order), span_s), IS_ROW: F.lit(True)})
+
+
+def _with_extra(cut: DataFrame, extra: DataFrame) -> DataFrame:
+    """Rows plus the extra rows of their spans."""
+    marked = extra.where(F.col(SPAN).isNotNull()).withColumn(IS_ROW, F.lit(False))
+    return cut.unionByName(marked, allowMissingColumns=True)
+
+
 def _neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,25 +55,28 @@ def _neighbour(
     span_s: int,
     tie: Sequence[str],
     forward: bool,
+    instant_only: bool = False,
 ) -> DataFrame:
     keys = list(keys)
     packed = F.struct(*[v.alias(name) for name, v in values.items()])
-    position = F.struct(order, *tie)
-    by_span = Window.partitionBy(*keys, SPAN).orderBy(order, *tie)
-    by_key = Window.partitionBy(*keys).orderBy(SPAN)
+    cut = _cut(df, order, span_s).withColumn(VALUES, packed)
+
+    # The outermost row of each span, handed to the nearest span that has rows.
+    spans = Window.partitionBy(*keys).orderBy(SPAN)
+    target = (F.lag if forward else F.lead)(SPAN).over(spans).alias(SPAN)
+    if instant_only:
+        # A plain max or min of a timestamp: a hash aggregate without any sort.
+        at = (F.min if forward else F.max)(order).alias(order)
+        edges = cut.groupBy(*keys, SPAN).agg(at).withColumn(VALUES, F.struct(F.col(order).alias(next(iter(values)))))
+        extra = edges.select(*keys, target, order, VALUES)
+    else:
+        outer = (F.min_by if forward else F.max_by)(F.struct(VALUES, order, *tie), F.struct(order, *tie))
+        extra = cut.groupBy(*keys, SPAN).agg(outer.alias("__edge")).select(*keys, target, "__edge.*")
 
-    cut = df.withColumn(SPAN, span_of(F.col(order), span_s))
     step = F.lead if forward else F.lag
-    edge = F.min_by if forward else F.max_by
-    inside = cut.withColumn("__inside", step(packed).over(by_span))
-    edges = cut.groupBy(*keys, SPAN).agg(edge(packed, position).alias("__edge"))
-    carried = edges.select(*keys, SPAN, step("__edge").over(by_key).alias("__carried"))
-
-    joined = join_null_safe(inside, carried, [*keys, SPAN])
-    neighbour = F.coalesce("__inside", "__carried")
-    return joined.withColumns({name: neighbour[name] for name in values}).drop(
-        "__inside", "__carried", SPAN
-    )
+    in_span = Window.partitionBy(*keys, SPAN).orderBy(order, *tie)
+    seen = _with_extra(cut, extra).withColumn("__found", step(VALUES).over(in_span)).where(IS_ROW)
+    return seen.select(*df.columns, *[F.col(f"__found.{name}").alias(name) for name in values])
 
 
 def with_previous(df, keys, order, values, span_s, tie=()) -> DataFrame:
@@ -75,6 +89,16 @@ def with_next(df, keys, order, values, span_s, tie=()) -> DataFrame:
     return _neighbour(df, keys, order, values, span_s, tie, forward=True)
 
 
+def with_neighbour_instant(df, keys, order, name, span_s, forward=False, tie=()) -> DataFrame:
+    """Add the instant of the row just before (or after) as ``name``, per ``keys``."""
+    return _neighbour(df, keys, order, {name: F.col(order)}, span_s, tie, forward, instant_only=True)
+
+
+def _before_span(span_s: int) -> Column:
+    """An instant just before the first one of a span."""
+    return F.timestamp_micros(F.col(SPAN) * F.lit(span_s * 1_000_000) - 1)
+
+
 def with_last_known(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,29 +113,17 @@ def with_last_known(
     Make ``value`` a struct to carry several columns that belong together.
     """
     keys = list(keys)
-    by_span = (
-        Window.partitionBy(*keys, SPAN)
-        .orderBy(order, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-
-    cut = df.withColumns({SPAN: span_of(F.col(order), span_s), "__value": value})
-    inside = cut.withColumn("__inside", F.last("__value", ignorenulls=True).over(by_span))
-    edges = (
-        cut.where(F.col("__value").isNotNull())
-        .groupBy(*keys, SPAN)
-        .agg(F.max_by("__value", F.struct(order, *tie)).alias("__edge"))
-    )
-    # Spans without a value of their own still need one carried in.
-    all_spans = cut.select(*keys, SPAN).distinct()
-    carried = join_null_safe(all_spans, edges, [*keys, SPAN]).select(
-        *keys, SPAN, F.last("__edge", ignorenulls=True).over(before).alias("__carried")
-    )
-    joined = join_null_safe(inside, carried, [*keys, SPAN])
-    return joined.withColumn(name, F.coalesce("__inside", "__carried")).drop(
-        "__inside", "__carried", "__value", SPAN
-    )
+    cut = _cut(df, order, span_s).withColumn(VALUES, value)
+    # Spans without a value keep their row (with NULL): they still need one carried in.
+    known_at = F.when(F.col(VALUES).isNotNull(), F.struct(order, *tie))
+    edges = cut.groupBy(*keys, SPAN).agg(F.max_by(VALUES, known_at).alias("__edge"))
+    earlier = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
+    extra = edges.select(
+        *keys, SPAN, _before_span(span_s).alias(order), F.last("__edge", ignorenulls=True).over(earlier).alias(VALUES)
+    ).where(F.col(VALUES).isNotNull())
+    so_far = Window.partitionBy(*keys, SPAN).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    seen = _with_extra(cut, extra).withColumn("__found", F.last(VALUES, ignorenulls=True).over(so_far)).where(IS_ROW)
+    return seen.select(*df.columns, F.col("__found").alias(name))
 
 
 def with_running_sum(
@@ -124,20 +136,15 @@ def with_running_sum(
 ) -> DataFrame:
     """Add running totals (``{new column: summed column}``) per ``keys`` in time order."""
     keys = list(keys)
-    by_span = (
-        Window.partitionBy(*keys, SPAN)
-        .orderBy(order, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-
-    cut = df.withColumn(SPAN, span_of(F.col(order), span_s))
-    inside = cut.withColumns({new: F.sum(old).over(by_span) for new, old in sums.items()})
-    edges = cut.groupBy(*keys, SPAN).agg(*[F.sum(old).alias(f"__e_{new}") for new, old in sums.items()])
-    carried = edges.select(
-        *keys, SPAN, *[F.coalesce(F.sum(f"__e_{new}").over(before), F.lit(0)).alias(f"__c_{new}") for new in sums]
+    cut = _cut(df, order, span_s)
+    edges = cut.groupBy(*keys, SPAN).agg(*[F.sum(old).alias(old) for old in sums.values()])
+    earlier = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
+    extra = edges.select(
+        *keys,
+        SPAN,
+        _before_span(span_s).alias(order),
+        *[F.sum(old).over(earlier).alias(old) for old in sums.values()],
     )
-    joined = join_null_safe(inside, carried, [*keys, SPAN])
-    return joined.withColumns(
-        {new: F.coalesce(F.col(new), F.lit(0)) + F.col(f"__c_{new}") for new in sums}
-    ).drop(*[f"__c_{new}" for new in sums], SPAN)
+    so_far = Window.partitionBy(*keys, SPAN).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    totals = {new: F.coalesce(F.sum(old).over(so_far), F.lit(0)) for new, old in sums.items()}
+    return _with_extra(cut, extra).withColumns(totals).where(IS_ROW).select(*df.columns, *sums)

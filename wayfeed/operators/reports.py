@@ -14,7 +14,7 @@ from ..functions.clock import instant, seconds
 from ..functions.status import ON_TIME_EARLY_S, ON_TIME_LATE_S, age_fraction_s, on_time, squash
 from ..schemas import NOTE_MAX, REPORT_CATEGORIES
 from ..sources.paths import ensure_checkpoint_dir
-from .ordered import join_null_safe, with_last_known
+from .ordered import with_last_known
 
 # Limits and the texts a rider sees.
 PER_HOUR_LIMIT = 20
@@ -205,7 +205,9 @@ def rate_limit(
     rows = rows.select("report_id", "reporter_id", "vehicle_id", "reported_at", "counts").withColumn(
         "slot", F.floor(F.unix_micros("reported_at") / F.lit(int(vehicle_window_s * 1_000_000)))
     )
-    line = _timeline(rows, limit, window_s, vehicle_window_s, max_rows)
+    ensure_checkpoint_dir(reports.sparkSession)
+    # Small, and used three times: which chunks there are, and both kinds of segment.
+    line = _timeline(rows, limit, window_s, vehicle_window_s, max_rows).checkpoint()
     placed = rows.join(line, ["reporter_id", "slot"])
     clear = placed.where(~F.col("risky")).withColumn("verdict", F.lit("accepted"))
 
@@ -217,7 +219,6 @@ def rate_limit(
     if last_chunk == 0:
         judged = risky.select(columns).groupBy("reporter_id", "segment").applyInPandas(judge, _VERDICTS)
     else:
-        ensure_checkpoint_dir(reports.sparkSession)
         judged = None
         carried = None
         for chunk in range(int(last_chunk) + 1):
@@ -254,9 +255,11 @@ def add_reports(reports: DataFrame, positions: DataFrame, span_s: int = 3600, **
     looked_up = snapshot_reports(clean_reports(reports), positions, span_s)
     known = looked_up.where(~F.coalesce(F.col("rejected").startswith("Unknown category"), F.lit(False)))
     verdicts = rate_limit(known.withColumn("counts", F.col("rejected").isNull()), **limits)
-    return join_null_safe(looked_up, verdicts.select("report_id", "message"), ["report_id"]).withColumn(
-        "rejected", F.coalesce("message", "rejected")
-    ).drop("message")
+    return (
+        looked_up.join(verdicts.select("report_id", "message"), "report_id", "left")
+        .withColumn("rejected", F.coalesce("message", "rejected"))
+        .drop("message")
+    )
 
 
 def recent_reports(reports: DataFrame, as_of, within_s: int = RECENT_S, k: int = RECENT_MAX) -> DataFrame:

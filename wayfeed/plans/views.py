@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import local_time, operating_day
+from ..sources.scan import spread
 
 # The tables' timestamps are UTC wall clock; reading them as instants keeps filters on them in the scan.
 TABLES = {
@@ -69,12 +70,13 @@ def sql_diff_s(a: str, b: str) -> str:
 # ---------------------------------------------------------------- V1: events
 
 
-def transit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transit(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """V1 base rows."""
+    events = load(spark, sf_dir, "events") if events is None else events
     k = F.get_json_object("props", "$.k").cast("int")
     names = F.create_map(*[F.lit(x) for kv in ROUTE_OF.items() for x in kv])
     user = F.col("user_id")
-    e = load(spark, sf_dir, "events").select(
+    e = events.select(
         "event_id",
         F.col("ts").alias("at"),
         "user_id",
@@ -239,7 +241,7 @@ def feed_type(event_id: Column) -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 as raw rows: JSON payloads under a topic; positions arrive four times, some bodies are bad."""
-    t = transit(spark, sf_dir)
+    t = transit(spark, sf_dir, spread(load(spark, sf_dir, "events"), "event_id"))
     kind = feed_type(F.col("event_id"))
     planned = F.col("scheduled_departure")
     body = F.struct(
@@ -330,7 +332,8 @@ PARSED_COLUMNS = (
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 as departures: lateness is the shipping delay beyond 60 days."""
-    line = load(spark, sf_dir, "lineitem")
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
+    line = spread(load(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_partkey")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     joined = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
     planned = F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")

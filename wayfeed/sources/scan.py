@@ -1,0 +1,16 @@
+"""Scans of the given size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """One partition per core, by a hash of ``by``, for a scan with fewer splits than cores.
+
+    Use before costly work on each row (building or parsing documents).  A
+    large table has more splits than cores and is left as it is, so nothing is
+    shuffled there.  ``df`` must be a scan with projections and filters only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
