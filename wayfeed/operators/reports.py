@@ -145,7 +145,7 @@ def _judge_in_order(limit: int, window_s: float, vehicle_s: float):
 
 
 def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int, max_rows: int) -> DataFrame:
-    """Per reporter and time slot: its segment, whether a limit can bite there, its chunk.
+    """Per reporter and time slot: its segment, whether a limit can bite there, its chunks.
 
     Built from counts per (reporter, vehicle, slot), so its size depends on the
     time covered and not on how many reports a reporter sends.  A slot is as
@@ -170,13 +170,15 @@ def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int, max_ro
         .withColumn("segment", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
     )
     whole = Window.partitionBy("reporter_id", "segment")
-    before = whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.sum("n").over(whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    first_chunk = F.floor((so_far - F.col("n")) / F.lit(max_rows))
     return segments.select(
         "reporter_id",
         "slot",
         "segment",
         F.max("risky").over(whole).alias("risky"),
-        F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(max_rows)).alias("chunk"),
+        first_chunk.alias("first_chunk"),
+        F.floor(so_far / F.lit(max_rows)).alias("last_chunk"),
     )
 
 
@@ -195,26 +197,31 @@ def rate_limit(
     segments where a limit can bite are judged in order.  A segment longer than
     ``max_rows`` is judged chunk by chunk; what a chunk has to know of the past
     is the accepted reports of the last window, at most ``limit`` rows.  Each
-    chunk's verdicts are checkpointed, so no task ever holds more than a chunk
-    (plus the rest of its last time slot).
+    chunk's verdicts are checkpointed, so no task ever holds more than about a
+    chunk; a slot that spans several chunks is cut evenly in time.
 
     An optional boolean column ``counts`` marks reports that are judged but
     never stored (their vehicle is unknown), so they use up no allowance.
     """
     rows = reports if "counts" in reports.columns else reports.withColumn("counts", F.lit(True))
+    slot_us = F.lit(int(vehicle_window_s * 1_000_000))
+    at_us = F.unix_micros("reported_at")
     rows = rows.select("report_id", "reporter_id", "vehicle_id", "reported_at", "counts").withColumn(
-        "slot", F.floor(F.unix_micros("reported_at") / F.lit(int(vehicle_window_s * 1_000_000)))
+        "slot", F.floor(at_us / slot_us)
     )
     ensure_checkpoint_dir(reports.sparkSession)
     # Small, and used three times: which chunks there are, and both kinds of segment.
     line = _timeline(rows, limit, window_s, vehicle_window_s, max_rows).checkpoint()
-    placed = rows.join(line, ["reporter_id", "slot"])
+    into_slot = at_us / slot_us - F.col("slot")
+    within = F.floor(into_slot * (F.col("last_chunk") - F.col("first_chunk") + 1))
+    chunk = F.least(F.col("first_chunk") + within, F.col("last_chunk"))
+    placed = rows.join(line, ["reporter_id", "slot"]).withColumn("chunk", chunk)
     clear = placed.where(~F.col("risky")).withColumn("verdict", F.lit("accepted"))
 
     columns = [f.name for f in _VERDICTS]
     risky = placed.where("risky").withColumns({"verdict": F.lit(None).cast("string"), "fresh": F.lit(True)})
     judge = _judge_in_order(limit, window_s, vehicle_window_s)
-    last_chunk = line.where("risky").agg(F.max("chunk")).first()[0] or 0
+    last_chunk = line.where("risky").agg(F.max("last_chunk")).first()[0] or 0
 
     if last_chunk == 0:
         judged = risky.select(columns).groupBy("reporter_id", "segment").applyInPandas(judge, _VERDICTS)
