@@ -300,7 +300,8 @@ LEFT JOIN fallback f ON f.route = 'N' || CAST(l_suppkey % 25 AS VARCHAR)""",
 )
 def departures_enriched_shipments(spark, sf_dir):
     """The same joins at volume: parts as stops, suppliers as routes, a fallback name per nation."""
-    line = load(spark, sf_dir, "lineitem")
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
+    line = load(spark, sf_dir, "lineitem").select(*columns)
     supplier = F.col("l_suppkey")
     events = line.select(
         F.lit("dep").alias("event_type"),

@@ -48,11 +48,20 @@ def write_bronze(raw: DataFrame, path: str, checkpoint: str, trigger: str | None
     return run(writer, trigger)
 
 
-def write_silver(bronze: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """Typed, deduplicated, checked events, partitioned by event date and stream."""
-    events = route_events(dedup_events(normalize_events(bronze)))
+def write_silver(
+    bronze: DataFrame, path: str, checkpoint: str, trigger: str | None = None, files: int = 8
+) -> StreamingQuery:
+    """Typed, deduplicated, checked events, partitioned by event date and stream.
+
+    Dedup leaves rows of every date in every task, and each task would write a
+    file per partition and batch.  Rows are therefore brought together by
+    partition first, in ``files`` parts each, so that today's partition, which
+    gets nearly all rows, is still written by that many tasks.
+    """
+    events = route_events(dedup_events(normalize_events(bronze))).withColumn("event_date", F.to_date("tst"))
+    part = F.pmod(F.xxhash64("vehicle_id", "tst"), F.lit(files))
     writer = (
-        events.withColumn("event_date", F.to_date("tst"))
+        events.repartition(F.col("event_date"), F.col("stream"), part)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -146,6 +155,7 @@ def replay(
     routes: DataFrame,
     session_id: str = "replay",
     max_files_per_trigger: int | None = None,
+    files: int = 8,
 ) -> dict[str, str]:
     """Run the whole chain over a recorded feed and stop; call again to continue where it ended.
 
@@ -159,7 +169,7 @@ def replay(
         raw = with_envelope(read_feed(spark, feed, True, max_files_per_trigger), session_id)
     write_bronze(raw, at["bronze"], mark["bronze"]).awaitTermination()
     first = [
-        write_silver(read_bronze(spark, at["bronze"], True), at["silver"], mark["silver"]),
+        write_silver(read_bronze(spark, at["bronze"], True), at["silver"], mark["silver"], files=files),
         write_heartbeats(read_bronze(spark, at["bronze"], True), at["heartbeats"], mark["heartbeats"]),
     ]
     for query in first:
