@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import window_bounds, window_filter
 from ..functions.status import lateness_band, route_number, route_order
 from ..operators import departures as d
-from ..operators.events import dedup_events, expect_or_drop, normalize_events, route_events, stop_events
+from ..operators.events import dedup_events, normalize_events, route_events, stop_events
+from ..sources.scan import spread
 from .registry import query
 from .views import (
     SQL_DEPARTURES,
@@ -27,7 +28,6 @@ from .views import (
     sql_route_number,
     stops_of_nations,
     text,
-    transit,
 )
 
 _PUNCTUALITY = f"""
@@ -301,7 +301,7 @@ LEFT JOIN fallback f ON f.route = 'N' || CAST(l_suppkey % 25 AS VARCHAR)""",
 def departures_enriched_shipments(spark, sf_dir):
     """The same joins at volume: parts as stops, suppliers as routes, a fallback name per nation."""
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
-    line = load(spark, sf_dir, "lineitem").select(*columns)
+    line = spread(load(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_partkey")
     supplier = F.col("l_suppkey")
     events = line.select(
         F.lit("dep").alias("event_type"),
@@ -341,6 +341,3 @@ def departures_enriched_shipments(spark, sf_dir):
 def fallback(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     return d.route_fallback(part.select(F.col("p_brand").alias("route"), F.col("p_name").alias("route_name")))
-
-
-__all__ = ["SQL_ENRICHED", "enriched", "expect_or_drop", "transit"]

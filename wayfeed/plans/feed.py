@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..operators import events as ev
-from ..schemas import LATENESS_PLAUSIBLE, MODES, ROW_REQUIRED
+from ..schemas import LATENESS_PLAUSIBLE, ROW_REQUIRED
 from ..sources import feed
 from ..sources.paths import shared_dir
 from .departures import SQL_ENRICHED, enriched
@@ -16,7 +16,6 @@ from .views import (
     SQL_HEARTBEATS,
     SQL_PARSED,
     heartbeat_rows,
-    heartbeats,
     load,
     messages,
     sql_sec,
@@ -349,6 +348,3 @@ FROM s GROUP BY 1""",
 )
 def lateness_agreement(spark, sf_dir):
     return checks.lateness_agreement(ev.stop_events(routed(spark, sf_dir)))
-
-
-__all__ = ["MODES", "heartbeats", "routed"]

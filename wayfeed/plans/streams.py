@@ -15,7 +15,7 @@ from ..streaming import medallion as m
 from .departures import SQL_ENRICHED
 from .feed import _ROUTED
 from .registry import query
-from .views import PARSED_COLUMNS, heartbeat_rows, messages, routes_of_regions, stops_of_nations
+from .views import heartbeat_rows, messages, routes_of_regions, stops_of_nations
 
 
 def _as_stream(spark, df, name):
@@ -71,6 +71,3 @@ def feed_replay(spark, sf_dir):
     """The whole chain, raw rows to departures."""
     path = _replay(spark, sf_dir)["departures"]
     return spark.read.parquet(path).withColumn("operating_day", F.col("operating_day").cast("date"))
-
-
-__all__ = ["PARSED_COLUMNS"]
