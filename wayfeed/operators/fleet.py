@@ -17,7 +17,6 @@ from ..functions.status import (
     lateness_band,
     lateness_text,
     route_order,
-    squash,
 )
 from ..schemas import CURRENT_COLUMNS
 
