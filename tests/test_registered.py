@@ -10,18 +10,19 @@ import pytest
 
 import check_queries
 from __spark_entry__ import entry, oracle_sql, queries
+from wayfeed.plans import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 SELECTION = """
     punctuality stop_lateness departures_enriched_shipments coverage_by_day data_gaps bunching_pairs bunching_by_stop
     snapshot_diff watchlist_reconcile report_rate_limit reports_vs_measured find_stops trip_advice_summer
 """.split()
-KEYS = sorted(queries()) if os.environ.get("WAYFEED_ALL") else SELECTION
+KEYS = sorted(QUERIES) if os.environ.get("WAYFEED_ALL") else SELECTION
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given tables")
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
