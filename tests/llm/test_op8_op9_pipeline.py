@@ -23,8 +23,10 @@ def test_decontamination(spark, make_docs, odd_texts, clashing):
             at = rng.randint(0, len(filler))
             want[len(texts)] = k
             texts.append(" ".join([*filler[:at], shape(item), *filler[at:]]))
-    for item in items[2:8]:  # half an item, or its words in another order, is no leak
+    for k, item in enumerate(items[2:8], 2):  # half an item, or its words in another order, is no leak
         own = item.split()
+        if len(own) // 2 >= decontaminate.Limits().passage // 2:  # but a whole part of a long item is one
+            want[len(texts)] = k
         texts += [" ".join(words(rng, 50) + own[: len(own) // 2]), " ".join(rng.sample(own, len(own)))]
     table = spark.createDataFrame([*enumerate(items), (2, items[2]), (None, "x y z")], ITEM)
     for block_items in (20_000, 4):

@@ -57,7 +57,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
         first = last
 
 
-def map_text(df: DataFrame, step, schema: str, column: str = "text", max_bytes: int = 4_000_000, setup=None) -> DataFrame:
+def map_text(df: DataFrame, step, schema: str, column: str = "text", max_bytes: int = 2_000_000, setup=None) -> DataFrame:
     """``step(rows, bytes, offsets[, setup()])`` gives a RecordBatch (or None) for each slice of texts."""
 
     def run(batches):

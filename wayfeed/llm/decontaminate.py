@@ -59,7 +59,9 @@ def parts_of(item: int, text: str, limits: Limits) -> list[Part]:
     else:
         question = (2 * len(w) + 2) // 3
     half = limits.passage // 2
-    return [Part(item, w[k : k + half], min(max(0, question - k), half)) for k in range(0, len(w), half) if len(w[k : k + half])]
+    # The last part of a long item reaches back over the one before, so that no part is a few words only.
+    starts = [*range(0, len(w) - half, half), max(0, len(w) - half)] if len(w) else []
+    return [Part(item, w[k : k + half], min(max(0, question - k), half)) for k in starts]
 
 
 class Index:
@@ -254,7 +256,7 @@ def matches(docs: DataFrame, items: DataFrame, limits: Limits | None = None, blo
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "row", "item_id", "score", "overlap"])
 
         source = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-        found = map_text(source, step, f"doc_id {kind}, row long, item_id long, score double, overlap double", max_bytes=2_000_000)
+        found = map_text(source, step, f"doc_id {kind}, row long, item_id long, score double, overlap double", max_bytes=500_000)
         out = found if out is None else out.union(found)
     return out
 

@@ -265,4 +265,4 @@ def detect(docs: DataFrame, detector: Detector | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", text_or_empty().alias("text"))
-    return map_text(source, step, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean", max_bytes=1_000_000)
+    return map_text(source, step, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean", max_bytes=500_000)

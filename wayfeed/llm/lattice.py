@@ -161,7 +161,7 @@ def word_scores(words: list[bytes], pieces: Pieces, logw: np.ndarray, counts: np
     return out
 
 
-def lattice_scores(docs: DataFrame, model_path: str, fold: int = 10, held_out: int = 0, rounds: int = 3, prior_weight: float = 1000.0, discount: float | None = 0.75, bucket_bytes: int = 12_000_000, flush_bytes: int = 16_000_000, smoothing: float = 0.1) -> DataFrame:
+def lattice_scores(docs: DataFrame, model_path: str, fold: int = 10, held_out: int = 0, rounds: int = 3, prior_weight: float = 1000.0, discount: float | None = 0.75, bucket_bytes: int = 12_000_000, flush_bytes: int = 8_000_000, smoothing: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Tokens are the words (A-Z lower-cased) and one end.  ``score`` is the log10 probability of the text in a model over
@@ -201,14 +201,13 @@ def lattice_scores(docs: DataFrame, model_path: str, fold: int = 10, held_out: i
             for _, held, at, n in texts:
                 if not held:
                     counts[at] += n
-            joined = b" ".join(words)
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(sizes + 1) - 1
-            raw = np.frombuffer(joined, np.uint8)
-            if len(words):
-                bucket = (span_hash(prefix_hash(raw, BASE), BASE, ends - sizes, ends) % np.uint64(buckets)).astype(np.int64)
-            else:
-                bucket = np.zeros(0, np.int64)
+            bucket = np.zeros(len(words), np.int64)
+            for k in range(0, len(words), 20_000):
+                own = words[k : k + 20_000]
+                sizes = np.fromiter(map(len, own), np.int64, len(own))
+                ends = np.cumsum(sizes + 1) - 1
+                prefix = prefix_hash(np.frombuffer(b" ".join(own), np.uint8), BASE)
+                bucket[k : k + 20_000] = span_hash(prefix, BASE, ends - sizes, ends) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             batch = part * (1 << 20) + flush
@@ -240,7 +239,7 @@ def lattice_scores(docs: DataFrame, model_path: str, fold: int = 10, held_out: i
                     tokens = raw[a:b].lower().split()
                     at = np.array([numbers.setdefault(t, len(numbers)) for t in tokens], np.int64)
                     at, n = np.unique(at, return_counts=True)
-                    texts.append((ids[k], held[k], at, n))
+                    texts.append((ids[k], held[k], at.astype(np.uint32), n.astype(np.uint32)))
                 done += len(raw)
                 if done >= flush_bytes:
                     yield out()

@@ -144,4 +144,4 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
         )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields)
-    return map_text(taken, step, f"{schema}, score double, predicted int", max_bytes=2_000_000)
+    return map_text(taken, step, f"{schema}, score double, predicted int", max_bytes=500_000)

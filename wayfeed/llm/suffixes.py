@@ -250,7 +250,7 @@ def frequent_anchors(docs: DataFrame, width: int, many: int, share: int = 8, mos
         return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], ["h", "n"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(share)) == 0).select("doc_id", "text")
-    counts = map_text(sample, step, "h long, n long", max_bytes=1_500_000).groupBy("h").agg(F.sum("n").alias("n"))
+    counts = map_text(sample, step, "h long, n long", max_bytes=500_000).groupBy("h").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") * share >= many).orderBy(F.desc("n"), "h").limit(most).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
@@ -287,7 +287,7 @@ def compared(docs: DataFrame, width: int, frequent: np.ndarray, buckets: int, fl
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "anchors", "repeats"])
 
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text", 1_500_000):
+            for rows, data, offsets in text_slices(batch, "text", 500_000):
                 docs_ = np.asarray(rows.column(0))
                 found, place = anchor_rows(data, offsets, docs_, width)
                 if len(hot) and len(found["h"]):
@@ -332,7 +332,7 @@ def compared(docs: DataFrame, width: int, frequent: np.ndarray, buckets: int, fl
     return dealt.groupBy("bucket").applyInArrow(settle, "kind int, doc long, h long, start int, before int, length int")
 
 
-def sorted_repeats(docs: DataFrame, contexts: DataFrame, width: int, task_bytes: int = 1_500_000) -> DataFrame:
+def sorted_repeats(docs: DataFrame, contexts: DataFrame, width: int, task_bytes: int = 800_000) -> DataFrame:
     """(doc, start, length) of the repeated windows in ``contexts`` (kind 1 of ``compared``), found by suffix sorting.
 
     The bytes of the contexts are cut from their documents and dealt by anchor; a task sorts the suffixes of about
@@ -359,7 +359,7 @@ def sorted_repeats(docs: DataFrame, contexts: DataFrame, width: int, task_bytes:
     return cut.repartition(parts, "h").mapInArrow(run, "doc long, start int, length int")
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, many: int = 2000, bucket_bytes: int = 12_000_000, flush_bytes: int = 24_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 100, many: int = 2000, bucket_bytes: int = 8_000_000, flush_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, spans (start and end of byte ranges, merged, in order) for each document with bytes to remove.
 
     A byte is removed if a string of ``width`` bytes that covers it also starts earlier: in a document with a smaller
