@@ -110,8 +110,8 @@ def brute_force(reports, limit, window, vehicle_window):
     return verdicts
 
 
-@pytest.mark.parametrize("max_rows", [500_000, 90])
-def test_rate_limit_equals_the_sequential_rule(spark, max_rows):
+@pytest.mark.parametrize("batch_rows", [10_000, 7])
+def test_rate_limit_equals_the_sequential_rule(spark, batch_rows):
     rng = random.Random(11)
     data = []
     for rid in range(900):
@@ -121,13 +121,35 @@ def test_rate_limit_equals_the_sequential_rule(spark, max_rows):
         at = rid * 10_000 if who == "quiet" else at
         data.append((rid, who, f"v{rng.randrange(40)}", at, rng.random() > 0.1))
     df = spark.createDataFrame(data, "report_id bigint, reporter_id string, vehicle_id string, s bigint, counts boolean")
-    found = rep.rate_limit(df.withColumn("reported_at", F.timestamp_seconds("s")), max_rows=max_rows)
-    verdicts = {r["report_id"]: r["verdict"] for r in found.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        found = rep.rate_limit(df.withColumn("reported_at", F.timestamp_seconds("s"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    verdicts = {r["report_id"]: r["verdict"] for r in found}
     expected = brute_force(data, 20, 3600, 120)
     assert verdicts == expected
     assert set(expected.values()) == {"accepted", "vehicle_limit", "hourly_limit"}
 
 
+def test_rate_limit_with_a_vehicle_window_beyond_the_other(spark):
+    data = [(k, "a", f"v{k % 3}", 700 * k, True) for k in range(40)] + [(100 + k, "b", "v", 0, True) for k in range(300)]
+    df = spark.createDataFrame(data, "report_id bigint, reporter_id string, vehicle_id string, s bigint, counts boolean")
+    found = rep.rate_limit(df.withColumn("reported_at", F.timestamp_seconds("s")), 20, 2000, 20_000).collect()
+    # Each of three vehicles again after 20,000 s at the earliest; of the reports at one instant only the first.
+    assert {r["report_id"] for r in found if r["verdict"] == "accepted"} == {0, 1, 2, 30, 31, 32, 100}
+    assert {r["verdict"] for r in found} == {"accepted", "vehicle_limit"} and len(found) == 340
+
+
+def test_reports_without_reporter_or_time_are_told_and_not_stored(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, 'a', 'v', timestamp('2026-01-01')), (2L, NULL, 'v', timestamp('2026-01-01')),
+        (3L, 'a', 'v', NULL) AS x(report_id, reporter_id, vehicle_id, reported_at)""")
+    assert {r["report_id"]: r["verdict"] for r in rep.rate_limit(df).collect()} == {1: "accepted", 2: "unknown", 3: "unknown"}
+    said = spark.sql("SELECT 1L AS report_id, 'a' AS vehicle_id, CAST(NULL AS STRING) AS email, 'late' AS category, '' AS note, timestamp('2026-10-03 16:00:00') AS reported_at")
+    found = rows(rep.add_reports(said, vehicles(spark, [("a", "4", 30, 100)])))
+    assert [r["rejected"] for r in found] == [rep.NO_REPORTER_MESSAGE]
+
+
 def test_rate_limit_bounds_are_strict(spark):
     data = [(1, "a", "v", 0), (2, "a", "v", 119), (3, "a", "v", 120)] + [(10 + i, "b", f"v{i}", i) for i in range(20)]
     data += [(40, "b", "x", 3599), (41, "b", "y", 3600)]

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_events import PLAN, SAMPLE, bronze, message
 
+from wayfeed.operators import coverage as cov
 from wayfeed.operators import departures as dep
 from wayfeed.operators import events as ev
 from wayfeed.operators import fleet as f
@@ -34,6 +35,10 @@ def test_reference_load_refuses_broken_files(spark, tmp_path):
     with pytest.raises(tables.ReferenceRejected):
         tables.load_reference(*args, version=2, min_routes=4, min_stops=2)
     assert tables.versions(spark, f"{out}/routes") == [1]
+    tables.write_version(spark.range(1), f"{out}/routes", 2)  # a load that broke off between its tables
+    both = tables.read_reference(spark, out)
+    assert [df.count() for df in both] == [3, 2] and tables.read_reference(spark, str(tmp_path / "none")) is None
+    tables.delete(spark, f"{out}/routes/v={2:012d}")
     routes = rows(tables.read_version(spark, f"{out}/routes"), "route")
     assert [(r["route"], r["route_name"], r["mode"]) for r in routes] == [("15", "Ring", "tram"), ("4", "Harbour - Square", "tram"), ("M1", None, "metro")]
     stops = rows(tables.read_version(spark, f"{out}/stops"), "stop_id")
@@ -63,6 +68,40 @@ def test_retention_drops_whole_days_and_filters_the_boundary(spark, tmp_path):
     assert tables.retained(spark.read.parquet(path), "received_at", 5, as_of).count() == 2
 
 
+def test_retention_keeps_an_operating_day_until_its_last_departure(spark, tmp_path):
+    path = str(tmp_path / "departures")
+    df = spark.sql("SELECT date(d) AS operating_day, 1 AS x FROM VALUES ('2024-01-07'), ('2024-01-08'), ('2024-01-10'), ('2024-01-11') AS v(d)")
+    df.write.partitionBy("operating_day").parquet(path)
+    # The bound is 2024-01-11 01:00 UTC; a departure at 01:30 UTC still belongs to the 10th.
+    dropped = tables.apply_retention(spark, [(path, "operating_day", 30)], dt.datetime(2024, 2, 10, 1, tzinfo=dt.UTC))
+    assert dropped[path] == ["operating_day=2024-01-07", "operating_day=2024-01-08"]
+
+
+def test_day_predicates_reach_the_partitions(spark, tmp_path):
+    path = str(tmp_path / "beats")
+    df = spark.sql("SELECT timestamp(t) AS heartbeat_at, date(t) AS heartbeat_date FROM VALUES ('2026-01-01 10:00:00'), ('2026-01-09 10:00:00') AS x(t)")
+    df.write.partitionBy("heartbeat_date").parquet(path)
+    recent = cov.feed_live(spark.read.parquet(path), "2026-01-09 10:00:05")
+    assert recent.first()["feed_live"]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(heartbeat_date" in plan
+
+
+def test_unreadable_lines_and_malformed_topics_are_rejected_rows(spark, tmp_path):
+    bad = message("vp", "tram", 40, 3, "3", "2", "21:14", 1)
+    lines = recorded_lines(SAMPLE[:2]) + ["{not json", "{not json", "also none", ""]
+    lines += [line.replace("/hfp/", "/gtfsrt/") for line in recorded_lines([bad])]
+    write(tmp_path / "in" / "a.jsonl", lines)
+    at = m.replay(spark, str(tmp_path / "in"), str(tmp_path / "out"), *dims(spark))
+    silver = m.read_silver(spark, at["silver"])
+    assert silver.where("stream = 'rejected'").count() == 4
+    minutes = m.coverage_of(spark, at["heartbeats"])
+    assert minutes.count() >= 1
+    beats = m.read_heartbeats(spark, at["heartbeats"]).count()
+    m.add_heartbeats(spark, at["bronze"], at["heartbeats"])
+    assert m.read_heartbeats(spark, at["heartbeats"]).count() == beats >= 1
+
+
 def test_recording_round_trip(spark, tmp_path):
     sample = bronze(spark, SAMPLE).select("topic", "payload", "received_at")
     feed.record_by_minute(sample, str(tmp_path / "rec"))

@@ -56,6 +56,22 @@ def whole_seconds(start: Column, end: Column) -> Column:
     return F.timestamp_diff("SECOND", start, end)
 
 
+def on_days(df: DataFrame, column: str, since: Column, until: Column | None = None) -> DataFrame:
+    """Add the day predicate that prunes date partitions to a filter on instants, where the column exists.
+
+    A column of UTC dates is exact.  ``operating_day`` gets a day of slack on
+    both sides, because a late journey keeps the day that it started on.
+    """
+    if column not in df.columns:
+        return df
+    if column == "operating_day":
+        low, high = F.date_sub(operating_day(since), 1), None if until is None else F.date_add(operating_day(until), 1)
+    else:
+        low, high = F.to_date(since), None if until is None else F.to_date(until)
+    kept = df.where(F.col(column) >= low)
+    return kept if high is None else kept.where(F.col(column) <= high)
+
+
 def window_bounds(window: str, as_of) -> tuple[Column, Column]:
     """(since, until) of a viewer window."""
     now = instant(as_of)
@@ -74,5 +90,5 @@ def window_filter(df: DataFrame, window: str, as_of, ts: str = "departed_at", da
     """
     since, until = window_bounds(window, as_of)
     if window == "last_hour":
-        return df.where((F.col(ts) >= since) & (F.col(ts) < until))
+        return on_days(df.where((F.col(ts) >= since) & (F.col(ts) < until)), day, since, until)
     return df.where((F.col(day) == operating_day(instant(as_of))) & (F.col(ts) < until))

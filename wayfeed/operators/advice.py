@@ -277,7 +277,8 @@ def measured_lateness(trips: DataFrame, current: DataFrame, as_of) -> DataFrame:
     The fleet is reduced to one row per journey before the join, so a journey
     shared by many vehicles or trips adds no rows.
     """
-    journey = F.concat_ws("|", "route", "direction", "operating_day", "journey_start")
+    parts = [F.col(c).cast("string") for c in ("route", "direction", "operating_day", "journey_start")]
+    journey = F.when(F.col("route").isNotNull(), F.concat_ws("|", *parts))
     per_journey = current.groupBy("journey_id").agg(
         F.max(F.struct("last_seen_at", "vehicle_id", "lateness_s")).alias("newest")
     )

@@ -54,7 +54,7 @@ def normalize_events(raw: DataFrame) -> DataFrame:
     parsed = parse_payload(parse_topic(raw.where(F.col("kind") == "event")))
     b = parsed["body"]
     typed = parsed.select(
-        "event_type",
+        F.when(F.col("topic_valid"), F.col("event_type")).alias("event_type"),
         "mode",
         b["tst"].try_cast("timestamp").alias("tst"),
         F.concat(b["oper"].cast("string"), F.lit("/"), b["veh"].cast("string")).alias("vehicle_id"),
@@ -160,9 +160,11 @@ def route_events(events: DataFrame) -> DataFrame:
 
     One parse and one dedup feed both tables; a sink partitioned by
     ``stream`` lets each reader scan only its own part.  ``rejected`` rows
-    stay visible.  Event types outside the feed's four are left out.
+    stay visible, those with a malformed topic among them.  Event types outside
+    the feed's four are left out.
     """
-    routed = events.withColumn("stream", event_stream_name(F.col("event_type"))).where(F.col("stream").isNotNull())
+    named = F.when(F.col("event_type").isNull(), F.lit("rejected")).otherwise(event_stream_name(F.col("event_type")))
+    routed = events.withColumn("stream", named).where(F.col("stream").isNotNull())
     broken = F.when(F.col("stream") == "position", _broken({**ROW_REQUIRED, **INSIDE_REGION})).otherwise(
         _broken(ROW_REQUIRED)
     )

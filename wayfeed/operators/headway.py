@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import instant, seconds, whole_seconds
+from ..functions.clock import instant, on_days, seconds, whole_seconds
 from ..functions.status import natural_route_list, route_order
 from .ordered import join_null_safe, with_neighbour_instant, with_previous
 
@@ -18,12 +18,7 @@ PLACE = ["route", "direction", "stop_id"]
 HOUR_SPAN_S = 3600
 
 
-def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: int = HOUR_SPAN_S) -> DataFrame:
-    """Seconds to the scheduled departure before, per route, direction and stop.
-
-    Gaps of zero or more than ``max_gap_s`` become NULL.  A departure without a
-    scheduled time has no gap and is no one's predecessor.
-    """
+def _gaps_ahead(dep: DataFrame, max_gap_s: int, span_s: int) -> DataFrame:
     scheduled = dep.where(F.col("scheduled_departure").isNotNull())
     tie = [c for c in ("departed_at", "vehicle_id", "journey_id") if c in dep.columns]
     ahead = with_neighbour_instant(scheduled, PLACE, "scheduled_departure", "__before", span_s, tie=tie)
@@ -31,12 +26,24 @@ def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: i
     return ahead.withColumn("scheduled_gap_s", F.when((gap > 0) & (gap <= max_gap_s), gap)).drop("__before")
 
 
+def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: int = HOUR_SPAN_S) -> DataFrame:
+    """Seconds to the scheduled departure before, per route, direction and stop.
+
+    Gaps of zero or more than ``max_gap_s`` become NULL.  A departure without a
+    scheduled time stays with a NULL gap and is no one's predecessor.
+    """
+    found = _gaps_ahead(dep, max_gap_s, span_s)
+    kind = found.schema["scheduled_gap_s"].dataType
+    none = dep.where(F.col("scheduled_departure").isNull()).withColumn("scheduled_gap_s", F.lit(None).cast(kind))
+    return found.unionByName(none)
+
+
 def planned_headway(
     dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: int = HOUR_SPAN_S, per: str = "hour"
 ) -> DataFrame:
     """Median scheduled gap per route, direction, stop and hour of the scheduled departure."""
     slim = dep.select(*PLACE, "scheduled_departure")
-    gaps = scheduled_gaps(slim, max_gap_s, span_s)
+    gaps = _gaps_ahead(slim, max_gap_s, span_s)
     return (
         gaps.groupBy(*PLACE, F.date_trunc(per, "scheduled_departure").alias("planned_hour"))
         .agg(F.percentile_approx("scheduled_gap_s", 0.5).cast("int").alias("planned_headway_s"))
@@ -64,7 +71,7 @@ def bunching_pairs(
     share = BUNCHING_SHARE if max_share is None else max_share
     start, end = instant(since), instant(until)
     at = F.col("departed_at")
-    d = dep.where((at >= start - seconds(look_back_s)) & (at < end)).select(
+    d = on_days(dep.where((at >= start - seconds(look_back_s)) & (at < end)), "operating_day", start - seconds(look_back_s), end).select(
         *PLACE,
         "stop_name",
         "stop_lat",

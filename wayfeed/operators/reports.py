@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from math import ceil
 
 import pandas as pd
@@ -13,7 +14,6 @@ from pyspark.sql import types as T
 from ..functions.clock import instant, seconds
 from ..functions.status import ON_TIME_EARLY_S, ON_TIME_LATE_S, age_fraction_s, on_time, squash
 from ..schemas import NOTE_MAX, REPORT_CATEGORIES
-from ..sources.paths import ensure_checkpoint_dir
 from .ordered import with_last_known
 
 # Limits and the texts a rider sees.
@@ -32,17 +32,22 @@ MEASURED = ["mode", "route", "direction", "lateness_s", "last_seen_at", "lat", "
 def clean_reports(reports: DataFrame) -> DataFrame:
     """Hash the reporter, tidy the note, check the category.
 
-    ``email`` never leaves this operator.  Rows with an unknown category stay,
-    with ``rejected`` saying why.
+    ``email`` never leaves this operator.  Rows with an unknown category, or
+    without reporter or time, stay, with ``rejected`` saying why.
     """
     email = F.lower(F.regexp_replace("email", r"^\s+|\s+$", ""))
     note = F.nullif(F.substring(squash(F.col("note")), 1, NOTE_MAX), F.lit(""))
     known = F.coalesce(F.col("category").isin(REPORT_CATEGORIES), F.lit(False))
+    unsigned = F.col("email").isNull()
+    if "reported_at" in reports.columns:
+        unsigned = unsigned | F.col("reported_at").isNull()
     return reports.withColumns(
         {
             "reporter_id": F.sha2(email, 256),
             "note": note,
-            "rejected": F.when(~known, F.concat(F.lit("Unknown category "), F.coalesce("category", F.lit("")), F.lit("."))),
+            "rejected": F.when(
+                ~known, F.concat(F.lit("Unknown category "), F.coalesce("category", F.lit("")), F.lit("."))
+            ).when(unsigned, F.lit(NO_REPORTER_MESSAGE)),
         }
     ).drop("email")
 
@@ -105,54 +110,59 @@ _VERDICTS = T.StructType(
         T.StructField("reporter_id", T.StringType()),
         T.StructField("vehicle_id", T.StringType()),
         T.StructField("reported_at", T.TimestampType()),
-        T.StructField("counts", T.BooleanType()),
         T.StructField("verdict", T.StringType()),
-        T.StructField("segment", T.LongType()),
-        T.StructField("fresh", T.BooleanType()),
     ]
 )
+NO_REPORTER_MESSAGE = "A report needs a reporter and a time."
 
 
 def _judge_in_order(limit: int, window_s: float, vehicle_s: float):
-    """Sequential rule for one reporter's run of reports; rows carried in are already accepted."""
+    """Sequential rule over rows in order of (reporter, segment, time, id).
+
+    What it keeps is one segment's accepted reports of the last window and its
+    last accepted report per vehicle, so memory does not grow with a segment.
+    """
     hour_us, vehicle_us = int(window_s * 1_000_000), int(vehicle_s * 1_000_000)
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["reported_at", "report_id"], kind="stable")
-        at = rows["reported_at"].astype("datetime64[us]").astype("int64")
-        accepted: deque[int] = deque()
-        last_by_vehicle: dict[str, int] = {}
-        verdicts = []
-        for now, vehicle, fresh, counts in zip(at, rows["vehicle_id"], rows["fresh"], rows["counts"]):
-            while accepted and accepted[0] <= now - hour_us:
-                accepted.popleft()
-            before = last_by_vehicle.get(vehicle)
-            if not fresh:
-                verdict = "accepted"
-            elif before is not None and before > now - vehicle_us:
-                verdict = "vehicle_limit"
-            elif len(accepted) >= limit:
-                verdict = "hourly_limit"
-            else:
-                verdict = "accepted"
-            if verdict == "accepted" and counts:
-                accepted.append(now)
-                last_by_vehicle[vehicle] = now
-            verdicts.append(verdict)
-        return rows.assign(verdict=verdicts)
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, accepted, by_vehicle = None, deque(), {}
+        for rows in batches:
+            at = rows["reported_at"].astype("datetime64[us]").astype("int64")
+            verdicts = []
+            for own, now, vehicle, counts in zip(
+                zip(rows["reporter_id"], rows["segment"]), at, rows["vehicle_id"], rows["counts"]
+            ):
+                if own != segment:
+                    segment, accepted, by_vehicle = own, deque(), {}
+                while accepted and accepted[0] <= now - hour_us:
+                    accepted.popleft()
+                before = by_vehicle.get(vehicle)
+                if before is not None and before > now - vehicle_us:
+                    verdict = "vehicle_limit"
+                elif len(accepted) >= limit:
+                    verdict = "hourly_limit"
+                else:
+                    verdict = "accepted"
+                    if counts:
+                        accepted.append(now)
+                        by_vehicle[vehicle] = now
+                        if len(by_vehicle) > 2 * limit + 1000:
+                            by_vehicle = {v: t for v, t in by_vehicle.items() if t > now - vehicle_us}
+                verdicts.append(verdict)
+            yield rows.assign(verdict=verdicts)[[f.name for f in _VERDICTS]]
 
     return judge
 
 
-def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int, max_rows: int) -> DataFrame:
-    """Per reporter and time slot: its segment, whether a limit can bite there, its chunks.
+def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int) -> DataFrame:
+    """Per reporter and time slot: its segment, and whether a limit can bite in it.
 
     Built from counts per (reporter, vehicle, slot), so its size depends on the
     time covered and not on how many reports a reporter sends.  A slot is as
-    long as the same-vehicle window.  Segments are separated by more than the
-    limit window without reports, hence independent of each other.
+    long as the same-vehicle window.  Segments are separated by more than both
+    windows without reports, hence independent of each other.
     """
-    look_back = ceil(window_s / vehicle_s)
+    look_back = max(ceil(window_s / vehicle_s), 1)
     slots = rows.groupBy("reporter_id", "vehicle_id", "slot").agg(F.count(F.lit(1)).alias("n"))
     per_vehicle = Window.partitionBy("reporter_id", "vehicle_id").orderBy("slot")
     close = (F.col("n") > 1) | F.coalesce(F.col("slot") - F.lag("slot").over(per_vehicle) <= 1, F.lit(False))
@@ -170,16 +180,7 @@ def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int, max_ro
         .withColumn("segment", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
     )
     whole = Window.partitionBy("reporter_id", "segment")
-    so_far = F.sum("n").over(whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
-    first_chunk = F.floor((so_far - F.col("n")) / F.lit(max_rows))
-    return segments.select(
-        "reporter_id",
-        "slot",
-        "segment",
-        F.max("risky").over(whole).alias("risky"),
-        first_chunk.alias("first_chunk"),
-        F.floor(so_far / F.lit(max_rows)).alias("last_chunk"),
-    )
+    return segments.select("reporter_id", "slot", "segment", F.max("risky").over(whole).alias("risky"))
 
 
 def rate_limit(
@@ -187,71 +188,47 @@ def rate_limit(
     limit: int = PER_HOUR_LIMIT,
     window_s: int = LIMIT_WINDOW_S,
     vehicle_window_s: int = SAME_VEHICLE_WINDOW_S,
-    max_rows: int = 500_000,
 ) -> DataFrame:
     """Verdict per report: accepted, vehicle_limit or hourly_limit; rejected reports do not count.
 
     The rule is sequential: whether a report counts depends on the verdicts
     before it.  Most reporters never come near a limit, and counts of submitted
     reports prove it: those segments are accepted in plain columns.  Only
-    segments where a limit can bite are judged in order.  A segment longer than
-    ``max_rows`` is judged chunk by chunk; what a chunk has to know of the past
-    is the accepted reports of the last window, at most ``limit`` rows.  Each
-    chunk's verdicts are checkpointed, so no task ever holds more than about a
-    chunk; a slot that spans several chunks is cut evenly in time.
-
-    An optional boolean column ``counts`` marks reports that are judged but
-    never stored (their vehicle is unknown), so they use up no allowance.
+    segments where a limit can bite are judged in order: Spark sorts them (and
+    spills), and a task streams over them with the state of one segment.  A
+    reporter's segment is one sequence, so it is not parallel within itself.
+
+    A report without reporter or time is ``unknown`` and takes no part.  An
+    optional boolean column ``counts`` marks reports that are judged but never
+    stored (their vehicle is unknown), so they use up no allowance.
     """
     rows = reports if "counts" in reports.columns else reports.withColumn("counts", F.lit(True))
     slot_us = F.lit(int(vehicle_window_s * 1_000_000))
-    at_us = F.unix_micros("reported_at")
-    rows = rows.select("report_id", "reporter_id", "vehicle_id", "reported_at", "counts").withColumn(
-        "slot", F.floor(at_us / slot_us)
+    rows = rows.select("report_id", "reporter_id", "vehicle_id", "reported_at", "counts")
+    whole = F.col("reporter_id").isNotNull() & F.col("reported_at").isNotNull()
+    known = rows.where(whole).withColumn("slot", F.floor(F.unix_micros("reported_at") / slot_us))
+    placed = known.join(_timeline(known, limit, window_s, vehicle_window_s), ["reporter_id", "slot"])
+    out = [f.name for f in _VERDICTS]
+    clear = placed.where(~F.col("risky")).withColumn("verdict", F.lit("accepted")).select(out)
+    order = ["reporter_id", "segment"]
+    judged = (
+        placed.where("risky")
+        .select(*order, "report_id", "vehicle_id", "reported_at", "counts")
+        .repartition(*order)
+        .sortWithinPartitions(*order, "reported_at", "report_id")
+        .mapInPandas(_judge_in_order(limit, window_s, vehicle_window_s), _VERDICTS)
     )
-    ensure_checkpoint_dir(reports.sparkSession)
-    # Small, and used three times: which chunks there are, and both kinds of segment.
-    line = _timeline(rows, limit, window_s, vehicle_window_s, max_rows).checkpoint()
-    into_slot = at_us / slot_us - F.col("slot")
-    within = F.floor(into_slot * (F.col("last_chunk") - F.col("first_chunk") + 1))
-    chunk = F.least(F.col("first_chunk") + within, F.col("last_chunk"))
-    placed = rows.join(line, ["reporter_id", "slot"]).withColumn("chunk", chunk)
-    clear = placed.where(~F.col("risky")).withColumn("verdict", F.lit("accepted"))
-
-    columns = [f.name for f in _VERDICTS]
-    risky = placed.where("risky").withColumns({"verdict": F.lit(None).cast("string"), "fresh": F.lit(True)})
-    judge = _judge_in_order(limit, window_s, vehicle_window_s)
-    last_chunk = line.where("risky").agg(F.max("last_chunk")).first()[0] or 0
-
-    if last_chunk == 0:
-        judged = risky.select(columns).groupBy("reporter_id", "segment").applyInPandas(judge, _VERDICTS)
-    else:
-        judged = None
-        carried = None
-        for chunk in range(int(last_chunk) + 1):
-            part = risky.where(F.col("chunk") == chunk).select(columns)
-            rows_in = part if carried is None else part.unionByName(carried)
-            done = rows_in.groupBy("reporter_id", "segment").applyInPandas(judge, _VERDICTS).checkpoint()
-            newest = done.groupBy("reporter_id", "segment").agg(F.max("reported_at").alias("__end"))
-            carried = (
-                done.where((F.col("verdict") == "accepted") & F.col("counts"))
-                .join(newest, ["reporter_id", "segment"])
-                .where(F.col("reported_at") > F.col("__end") - seconds(window_s))
-                .withColumn("fresh", F.lit(False))
-                .select(columns)
-            )
-            done = done.where("fresh")
-            judged = done if judged is None else judged.unionByName(done)
-
+    unknown = rows.where(~whole).withColumn("verdict", F.lit("unknown")).select(out)
     verdict = F.col("verdict")
     message = (
         F.when(
             verdict == "vehicle_limit",
             F.lit(VEHICLE_MESSAGE.format(minutes=f"{vehicle_window_s / 60:g}")),
-        ).when(verdict == "hourly_limit", F.lit(HOURLY_MESSAGE.format(limit=limit)))
+        )
+        .when(verdict == "hourly_limit", F.lit(HOURLY_MESSAGE.format(limit=limit)))
+        .when(verdict == "unknown", F.lit(NO_REPORTER_MESSAGE))
     )
-    out = ["report_id", "reporter_id", "vehicle_id", "reported_at", "verdict"]
-    return clear.select(out).unionByName(judged.select(out)).withColumn("message", message)
+    return clear.unionByName(judged).unionByName(unknown).withColumn("message", message)
 
 
 def add_reports(reports: DataFrame, positions: DataFrame, span_s: int = 3600, **limits) -> DataFrame:
@@ -260,7 +237,7 @@ def add_reports(reports: DataFrame, positions: DataFrame, span_s: int = 3600, **
     Checks come in this order: category, rate limits, vehicle on the map.
     """
     looked_up = snapshot_reports(clean_reports(reports), positions, span_s)
-    known = looked_up.where(~F.coalesce(F.col("rejected").startswith("Unknown category"), F.lit(False)))
+    known = looked_up.where(F.col("rejected").isNull() | (F.col("rejected") == GONE_MESSAGE))
     verdicts = rate_limit(known.withColumn("counts", F.col("rejected").isNull()), **limits)
     return (
         looked_up.join(verdicts.select("report_id", "message"), "report_id", "left")

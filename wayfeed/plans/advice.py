@@ -9,7 +9,6 @@ from ..functions.clock import operating_day
 from ..operators import advice as a
 from ..operators.coverage import feed_live
 from ..operators.fleet import latest_by_key
-from ..sources.scan import spread
 from .registry import query
 from .views import (
     SQL_CURRENT,
@@ -128,7 +127,7 @@ def sql_weather(table: str, key: str, point: str, where: str = "true") -> str:
 
 def _customer_weather(spark, sf_dir):
     key = F.col("c_custkey")
-    return a.parse_weather(weather_bodies(spread(load(spark, sf_dir, "customer").select(key), "c_custkey"), key, key, base(spark, sf_dir)))
+    return a.parse_weather(weather_bodies(load(spark, sf_dir, "customer").select(key), key, key, base(spark, sf_dir)))
 
 
 @query("weather_parse", f"WITH {sql_weather('customer', 'c_custkey', 'c_custkey')} SELECT * FROM weather")
@@ -226,7 +225,7 @@ def plan_responses(spark, sf_dir, now: Column):
         .when(kind == 5, "not a document")
         .otherwise(good)
     )
-    orders = spread(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey")
     return orders.select(
         o.alias("request_id"), F.when(kind == 4, 500).otherwise(200).alias("status"), body.alias("body")
     )

@@ -8,7 +8,6 @@ from ..functions.clock import window_bounds, window_filter
 from ..functions.status import lateness_band, route_number, route_order
 from ..operators import departures as d
 from ..operators.events import dedup_events, normalize_events, route_events, stop_events
-from ..sources.scan import spread
 from .registry import query
 from .views import (
     SQL_DEPARTURES,
@@ -44,7 +43,7 @@ def punctuality(spark, sf_dir):
 
 @query("punctuality_shipments", f"WITH {SQL_SHIPMENTS} {_PUNCTUALITY}")
 def punctuality_shipments(spark, sf_dir):
-    return d.punctuality(shipments(spark, sf_dir), accuracy=1_000_000)
+    return d.punctuality(shipments(spark, sf_dir))
 
 
 @query(
@@ -301,7 +300,7 @@ LEFT JOIN fallback f ON f.route = 'N' || CAST(l_suppkey % 25 AS VARCHAR)""",
 def departures_enriched_shipments(spark, sf_dir):
     """The same joins at volume: parts as stops, suppliers as routes, a fallback name per nation."""
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
-    line = spread(load(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_partkey")
+    line = load(spark, sf_dir, "lineitem").select(*columns)
     supplier = F.col("l_suppkey")
     events = line.select(
         F.lit("dep").alias("event_type"),

@@ -37,6 +37,7 @@ def _gaps(source: str, max_gap: int) -> str:
   SELECT *, CASE WHEN {gap} > 0 AND {gap} <= {max_gap} THEN {gap} END AS scheduled_gap_s FROM (
     SELECT *, lag(scheduled_departure) OVER (PARTITION BY {PLACE} ORDER BY scheduled_departure, departed_at, vehicle_id) AS before
     FROM {source} WHERE scheduled_departure IS NOT NULL)
+  UNION ALL BY NAME SELECT *, NULL AS scheduled_gap_s FROM {source} WHERE scheduled_departure IS NULL
 )"""
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import local_time, operating_day
-from ..sources.scan import spread
 
 # The tables' timestamps are UTC wall clock; reading them as instants keeps filters on them in the scan.
 TABLES = {
@@ -241,7 +240,7 @@ def feed_type(event_id: Column) -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 as raw rows: JSON payloads under a topic; positions arrive four times, some bodies are bad."""
-    t = transit(spark, sf_dir, spread(load(spark, sf_dir, "events"), "event_id"))
+    t = transit(spark, sf_dir, load(spark, sf_dir, "events"))
     kind = feed_type(F.col("event_id"))
     planned = F.col("scheduled_departure")
     body = F.struct(
@@ -333,7 +332,7 @@ PARSED_COLUMNS = (
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 as departures: lateness is the shipping delay beyond 60 days."""
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
-    line = spread(load(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_partkey")
+    line = load(spark, sf_dir, "lineitem").select(*columns)
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     joined = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
     planned = F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")

@@ -6,29 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from ..functions.clock import instant
+from ..functions.clock import instant, on_days
 from ..operators.ordered import with_running_sum
 from ..schemas import DEFAULT_TOPICS, ENVELOPE, HEARTBEAT_EVERY_S, RECORDED
 
 
+UNREADABLE = "_unreadable"
+
+
 def read_feed(
     spark: SparkSession, path: str, streaming: bool = False, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """Recorded lines of a JSONL file or a folder of ``*.jsonl`` files.
 
     As a stream, the checkpoint remembers what was read, so a restart never
-    replays a file twice.  Blank lines are skipped.
+    replays a file twice.  Blank lines are skipped.  A line that is no JSON
+    stays as a row without topic whose payload is the line, so the events made
+    of it are rejected and not lost.
     """
-    if not streaming:
-        return _nonblank(spark.read.schema(RECORDED).json(path))
-    reader = spark.readStream.schema(RECORDED)
-    if max_files_per_trigger:
+    schema = StructType([*RECORDED.fields, StructField(UNREADABLE, StringType())])
+    reader = (spark.readStream if streaming else spark.read).schema(schema).option("columnNameOfCorruptRecord", UNREADABLE)
+    if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _nonblank(reader.json(path))
-
-
-def _nonblank(df: DataFrame) -> DataFrame:
-    return df.where(F.col("topic").isNotNull() | F.col("payload").isNotNull())
+    lines = reader.json(path)
+    lines = lines.withColumn("payload", F.coalesce("payload", F.nullif(F.trim(UNREADABLE), F.lit("")))).drop(UNREADABLE)
+    return lines.where(F.col("topic").isNotNull() | F.col("payload").isNotNull())
 
 
 def with_envelope(recorded: DataFrame, session_id: str) -> DataFrame:
@@ -85,8 +87,13 @@ def heartbeat_ledger(events: DataFrame, sessions: DataFrame, every_s: int = HEAR
     step_us = every_s * 1_000_000
     start_us, end_us = F.unix_micros("started_at"), F.unix_micros("ended_at")
     last = F.floor((end_us - start_us) / F.lit(step_us))
-    spine = sessions.select(
-        "session_id", "started_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("beat")
+    block = 86_400 // max(1, every_s)  # beats of a day, so that no array grows with a session
+    days = sessions.select(
+        "session_id", "started_at", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / block))).alias("day")
+    )
+    upto = F.least("last", (F.col("day") + 1) * block - 1)
+    spine = days.select(
+        "session_id", "started_at", F.explode(F.sequence(F.col("day") * block, upto)).alias("beat")
     ).select(
         "session_id",
         "beat",
@@ -158,4 +165,8 @@ def with_received_date(df: DataFrame) -> DataFrame:
 
 def rows_since(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     """Rows younger than ``days`` days (the exact bound that partition drops leave open)."""
-    return df.where(F.col(ts) >= instant(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    since = instant(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    kept = df.where(F.col(ts) >= since)
+    for column in ("received_date", "event_date", "heartbeat_date", "operating_day"):
+        kept = on_days(kept, column, since)
+    return kept

@@ -7,6 +7,7 @@ and deduplicated once into one table partitioned by date and by ``stream``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,9 @@ from ..operators.events import (
     stop_events,
 )
 from ..operators.fleet import current_columns, latest_by_key
-from ..schemas import ENVELOPE
-from ..sources.feed import read_bronze, read_feed, with_envelope, with_received_date
+from ..schemas import DEDUP_KEYS, ENVELOPE
+from ..sources.feed import heartbeat_ledger, read_bronze, read_feed, with_envelope, with_received_date
+from ..sources.paths import children
 from ..sources.tables import drop_old_versions, read_version, versions, write_version
 
 
@@ -58,7 +60,11 @@ def write_silver(
     partition first, in ``files`` parts each, so that today's partition, which
     gets nearly all rows, is still written by that many tasks.
     """
-    events = route_events(dedup_events(normalize_events(bronze))).withColumn("event_date", F.to_date("tst"))
+    # What has no key cannot have copies: it is rejected row by row.
+    keyed = " and ".join(f"{c} is not null" for c in DEDUP_KEYS)
+    typed = normalize_events(bronze)
+    deduped = dedup_events(typed.where(keyed)).unionByName(typed.where(f"not ({keyed})"))
+    events = route_events(deduped).withColumn("event_date", F.to_date("tst"))
     part = F.pmod(F.xxhash64("vehicle_id", "tst"), F.lit(files))
     writer = (
         events.repartition(F.col("event_date"), F.col("stream"), part)
@@ -96,6 +102,32 @@ def write_heartbeats(bronze: DataFrame, path: str, checkpoint: str, trigger: str
     return run(writer, trigger)
 
 
+def read_heartbeats(spark: SparkSession, path: str) -> DataFrame:
+    """The heartbeats table with those made after a replay; empty while nothing has been written.
+
+    A stream's folder lists its own files, so the batch of a replay has a folder beside it.
+    """
+    found = parse_heartbeats(spark.createDataFrame([], ENVELOPE)).withColumn("heartbeat_date", F.to_date("heartbeat_at"))
+    for folder in (path, replayed(path)):
+        if children(spark, folder):
+            found = found.unionByName(spark.read.schema(found.schema).option("ignoreMissingFiles", True).parquet(folder))
+    return found
+
+
+def replayed(path: str) -> str:
+    return f"{path.rstrip('/')}_replayed"
+
+
+def add_heartbeats(spark: SparkSession, bronze_path: str, path: str) -> None:
+    """Append the heartbeats of sessions in the raw table that have none; a second call adds nothing."""
+    raw = read_bronze(spark, bronze_path)
+    have = read_heartbeats(spark, path).select("session_id").distinct()
+    events = raw.where("kind = 'event' and received_at is not null").join(have, "session_id", "left_anti")
+    sessions = events.groupBy("session_id").agg(F.min("received_at").alias("started_at"), F.max("received_at").alias("ended_at"))
+    beats = parse_heartbeats(heartbeat_ledger(events.select("session_id", "received_at"), sessions))
+    beats.withColumn("heartbeat_date", F.to_date("heartbeat_at")).write.mode("append").partitionBy("heartbeat_date").parquet(replayed(path))
+
+
 def write_departures(
     stop_stream: DataFrame, stops: DataFrame, routes: DataFrame, path: str, checkpoint: str, trigger: str | None = None
 ) -> StreamingQuery:
@@ -153,15 +185,19 @@ def replay(
     out: str,
     stops: DataFrame,
     routes: DataFrame,
-    session_id: str = "replay",
+    session_id: str | None = None,
     max_files_per_trigger: int | None = None,
     files: int = 8,
 ) -> dict[str, str]:
     """Run the whole chain over a recorded feed and stop; call again to continue where it ended.
 
-    ``feed`` is a folder of recorded lines, or a stream of raw rows.
+    ``feed`` is a folder of recorded lines, or a stream of raw rows.  Each call
+    is one Ingestion Session (``session_id``, by default a new one).  Sessions
+    that brought no heartbeats, as recordings do not, get those that a reader
+    would have written.
     """
     use_utc(spark)
+    session_id = session_id or f"replay-{uuid.uuid4().hex}"
     at = {name: f"{out}/{name}" for name in ("bronze", "silver", "heartbeats", "departures", "current")}
     mark = {name: f"{out}/_checkpoints/{name}" for name in at}
     raw = feed
@@ -174,6 +210,7 @@ def replay(
     ]
     for query in first:
         query.awaitTermination()
+    add_heartbeats(spark, at["bronze"], at["heartbeats"])
     silver = read_silver(spark, at["silver"], True)
     second = [
         write_departures(stop_events(silver), stops, routes, at["departures"], mark["departures"]),
@@ -190,8 +227,7 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
 
 def coverage_of(spark: SparkSession, heartbeats_path: str, as_of=None, **options) -> DataFrame:
     """Minutes table recomputed from the heartbeats of its window."""
-    hb = spark.read.option("ignoreMissingFiles", True).parquet(heartbeats_path)
-    return coverage_minutely(hb, as_of, **options)
+    return coverage_minutely(read_heartbeats(spark, heartbeats_path), as_of, **options)
 
 
 __all__ = [
