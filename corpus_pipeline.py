@@ -16,9 +16,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group; one row for each id; rows without an id stay."""
-    groups = simhash.simhash_groups(docs).select("doc_id", "component_id")
-    kept = docs.join(groups.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    """The document with the smallest id of each group of near copies; one row for each id; rows without an id stay.
+
+    Near copies have five-word shingles of a Jaccard similarity of about 0.8 or more by their SimHash fingerprints.
+    """
+    groups = simhash.near_copies(docs)
+    kept = docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))

@@ -158,3 +158,62 @@ def test_tree_finds_all_within_radius():
         tree.add(v, 2)
     for q in values[:40]:
         assert sorted(tree.within(q, 2)) == [k for k, v in enumerate(values) if (v ^ q).bit_count() <= 2]
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.lower().split()[k : k + n]) for k in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("most", [4096, 40])
+def test_near_copies_by_five_words(spark, make_docs, clashing, most, monkeypatch):
+    """Copies with a few words edited are one group, texts that share a third of their words are not."""
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (most, 3))
+    rng = random.Random(8)
+    bases = [words(rng, rng.randint(120, 400)) for _ in range(60)]
+    edited = []
+    for k, base in enumerate(bases):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // 100)):
+            copy[at] = "edited"
+        edited.append(copy)
+    other = [b[: len(b) // 3] + words(rng, 2 * len(b) // 3) for b in bases]
+    family = [[w if rng.random() > 0.01 else "new" for w in bases[0]] for _ in range(150)]
+    texts = [" ".join(t) for t in [*bases, *edited, *other, *family]]
+    assert min(jaccard(texts[k], texts[60 + k]) for k in range(60)) >= 0.85
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(clashing(make_docs(texts))).collect()}
+    assert len(got) == len(texts)
+    assert sum(got[60 + k] == k for k in range(60)) >= 57
+    assert [got[120 + k] for k in range(60)] == list(range(120, 180)) and [got[k] for k in range(60)] == list(range(60))
+    assert sum(got[180 + k] == 0 for k in range(150)) >= 145
+
+
+def test_near_copies_of_odd_rows(spark, make_docs, odd_texts):
+    texts = [*odd_texts, "no id", "twice", "other"]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(make_docs(texts, [*range(len(odd_texts)), None, 99, 99])).collect()}
+    assert got == {k: k for k in got} | {1: 0, 2: 0, 8: 7, 9: 7}
+    assert simhash.near_copies(make_docs([])).count() == 0
+
+
+def test_wide_links_join_what_brute_force_joins(spark):
+    """Components of links are those of all pairs that are near and agree in a key."""
+    rng = random.Random(21)
+    base = words(rng, 300)
+    texts = [" ".join(w if rng.random() > 0.025 else f"w{rng.randint(0, 99)}" for w in base) for _ in range(120)]
+    made = [simhash.wide_print(t.encode()) for t in texts]
+    radius = simhash.wide_radius(0.8)
+    values = spark.createDataFrame([(k, bytearray(p), keys.tolist()) for k, (p, keys) in enumerate(made)], "id long, print binary, keys array<int>")
+    root = list(range(120))
+
+    def up(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(120):
+        for j in range(i):
+            near = (int.from_bytes(made[i][0], "big") ^ int.from_bytes(made[j][0], "big")).bit_count() <= radius
+            if near and (made[i][1] == made[j][1]).any():
+                root[max(up(i), up(j))] = min(up(i), up(j))
+    got = {r.node: r.component for r in common.components(simhash.wide_links(values, radius), "test").collect()}
+    assert {k: got.get(k, k) for k in range(120)} == {k: up(k) for k in range(120)}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, map_text, n_shuffle, stored
+from .common import MULTIPLIER, components, local_roots, map_text, mixed, n_shuffle, stored
 
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
 
@@ -184,3 +186,123 @@ def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int =
     named = placed.join(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "component")
     named = named.select("bits", "component_id")
     return held.join(named, "bits").select("doc_id", "bits", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by five-word similarity
+
+PRINT_VIEWS, KEY_VIEWS, N_KEYS, KEY_BITS = 8, 11, 32, 22  # 512 bits to compare; 704 bits make 32 keys
+
+
+def shingle_hashes(hashed: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles of hashed words; of the whole sequence when it is shorter."""
+    n = max(1, len(hashed) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(words, len(hashed))):
+        h = h * MULTIPLIER + hashed[k : k + n]
+    return np.unique(mixed(h))
+
+
+def wide_bits(h: np.ndarray, views: int) -> np.ndarray:
+    """64 * views bits: each is set if it is set in more than half of the hashes, mixed anew for each view."""
+    salts = mixed(np.arange(1, views + 1, dtype=np.uint64) * MULTIPLIER)
+    ones = np.zeros(64 * views, np.int64)
+    for k in range(0, len(h), 255):  # so many that a byte can count them
+        block = mixed(h[k : k + 255, None] ^ salts[None, :])
+        ones += np.unpackbits(block.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * ones > len(h)
+
+
+def wide_print(text: bytes, words: int = 5) -> tuple[bytes, np.ndarray]:
+    """The 512-bit fingerprint of the distinct word shingles, and 32 keys made of the bits of word pairs.
+
+    Word pairs change less than longer shingles when words are edited, so near copies agree in a key more often, while
+    texts that share only their common words do not.
+    """
+    import xxhash
+
+    tokens = text.lower().split()
+    if not tokens:
+        return bytes(8 * PRINT_VIEWS), np.zeros(N_KEYS, np.int32)
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    keys = wide_bits(shingle_hashes(hashed, 2), KEY_VIEWS).reshape(N_KEYS, KEY_BITS)
+    return np.packbits(wide_bits(shingle_hashes(hashed, words), PRINT_VIEWS)).tobytes(), keys @ (1 << np.arange(KEY_BITS, dtype=np.int32))
+
+
+def wide_prints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, print (64 bytes), keys (32 ints) of every whole text; NULL is empty."""
+
+    def step(rows, data, offsets):
+        raw = data.tobytes()
+        made = [wide_print(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        keys = pa.array(np.concatenate([k for _, k in made]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * N_KEYS), keys)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([p for p, _ in made], pa.binary()), lists], ["doc_id", "print", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_text(docs.select("doc_id", "text"), step, f"doc_id {kind}, print binary, keys array<int>")
+
+
+def wide_radius(similarity: float, margin: float = 1.0) -> int:
+    """Bits of the fingerprint in which sets of that Jaccard similarity differ, and ``margin`` standard errors more."""
+    bits, p = 64 * PRINT_VIEWS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_links(values: DataFrame, radius: int, most: int = 4096, levels: int = 3) -> DataFrame:
+    """Links (a, b) of ids that connect values (id, print, keys) within the radius that agree in a key.
+
+    Each group of values that agree in a key is one BK-tree, built where the group lies; it gives one link for a value
+    at most.  Groups above ``most`` values are dealt again by a further key each, ``levels`` keys at most.
+    """
+    spark = values.sparkSession
+
+    def run(batches):
+        held_group, ids, held = None, [], []
+
+        def links():
+            if len(held) < 2:
+                return None
+            root, v = group_links(held, radius), np.array(ids, np.int64)
+            k = np.flatnonzero(root != np.arange(len(held)))
+            return pa.RecordBatch.from_arrays([pa.array(v[k]), pa.array(v[root[k]])], ["a", "b"]) if len(k) else None
+
+        for batch in batches:
+            for group, one, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != held_group:
+                    if out := links():
+                        yield out
+                    held_group, ids, held = group, [], []
+                ids.append(one)
+                held.append(int.from_bytes(bits, "big"))
+        if out := links():
+            yield out
+
+    found, left = None, values.select("id", "print", "keys", F.lit(-1).alias("way"), F.lit(0).cast("long").alias("group"))
+    for level in range(1, levels + 1):
+        dealt = left.select("id", "print", "keys", F.col("way").alias("before"), "group", F.posexplode("keys").alias("way", "key")).filter("way > before")
+        dealt = dealt.withColumn("group", F.xxhash64("group", "way", "key"))
+        sizes = stored(dealt.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-groups")
+        small = sizes if level == levels else sizes.filter(F.col("n") <= most)
+        rows = dealt.join(small.select("group"), "group", "left_semi").select("group", "id", "print")
+        links = rows.repartition(n_shuffle(spark), "group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
+        found = links if found is None else found.union(links)
+        large = sizes.filter(F.col("n") > most).select("group")
+        if level == levels or not large.limit(1).count():
+            return found
+        left = dealt.join(large, "group", "left_semi").select("id", "print", "keys", "way", "group")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over links) of every id: near copies by shingles of words.
+
+    Two texts link if 512-bit fingerprints of their distinct shingles differ as those of texts of that Jaccard
+    similarity do, one standard error allowed, and if they agree in one of 32 keys.  Texts with equal fingerprints are
+    one value throughout.  Texts without a word have fingerprint zero and are copies of each other.  Rows with the same
+    id are one document; rows with a NULL id are left out.
+    """
+    held = stored(wide_prints(docs.filter("doc_id is not null"), words), "simhash-wide")
+    values = held.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys"))
+    values = stored(values.withColumn("id", F.col("id").cast("long")), "simhash-values")
+    groups = components(wide_links(values, wide_radius(similarity)), "simhash-near")
+    named = values.join(groups.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
+    return held.join(named, "print").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
