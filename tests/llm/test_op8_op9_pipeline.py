@@ -103,6 +103,16 @@ def test_repeats(spark, make_docs, clashing, many):
     assert suffixes.without_repeats(make_docs([])).count() == 0
 
 
+def test_window_runs_cover_the_same_windows():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 400):
+        rows = {"doc": rng.integers(-3, 4, n), "start": rng.integers(0, 300, n).astype(np.int32), "length": rng.integers(1, 9, n).astype(np.int32)}
+        rows |= {"h": np.zeros(n, np.uint64), "ctx": np.zeros(n, np.uint64), "before": np.zeros(n, np.int32)}
+        got = suffixes.window_runs(rows)
+        cover = lambda r: [(d, x) for d, a, m in zip(r["doc"].tolist(), r["start"].tolist(), r["length"].tolist()) for x in range(a, a + m)]
+        assert sorted(cover(got)) == sorted(set(cover(rows)))
+
+
 def test_suffix_array_orders_all_suffixes():
     rng = np.random.default_rng(1)
     for trial in range(120):

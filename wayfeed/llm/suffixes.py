@@ -236,6 +236,21 @@ def class_key(rows: dict[str, np.ndarray]) -> np.ndarray:
     return mixed(rows["h"] * np.uint64(3) + rows["ctx"])
 
 
+def window_runs(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Windows that repeat as runs of window starts, one row for each run of a document."""
+    if not len(rows["doc"]):
+        return rows
+    docs, owner = np.unique(rows["doc"], return_inverse=True)
+    begin = owner * (1 << 40) + rows["start"].astype(np.int64)
+    order = np.argsort(begin, kind="stable")
+    begin = begin[order]
+    reach = np.maximum.accumulate(begin + rows["length"][order])
+    cut = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+    last = np.concatenate([cut[1:], [len(begin)]]) - 1
+    none = np.zeros(len(cut), np.uint64)
+    return {"h": none, "ctx": none, "doc": docs[owner[order[cut]]], "start": begin[cut] % (1 << 40), "before": none, "length": reach[last] - begin[cut]}
+
+
 def frequent_anchors(docs: DataFrame, width: int, many: int, share: int = 8, most: int = 65_536) -> np.ndarray:
     """Anchors seen with at least ``many`` different surroundings, judged on every ``share``-th document; sorted.
 
@@ -277,7 +292,7 @@ def compared(docs: DataFrame, width: int, frequent: np.ndarray, buckets: int, fl
         def blobs():
             joined = {name: np.concatenate([rows[name] for rows in held]) for name, _ in FIELDS}
             first = first_of(class_key(joined), joined["doc"], joined["start"])
-            own, repeats = take(joined, first), take(joined, ~first)
+            own, repeats = take(joined, first), window_runs(take(joined, ~first))
             bucket = (mixed(own["h"]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -325,7 +340,7 @@ def compared(docs: DataFrame, width: int, frequent: np.ndarray, buckets: int, fl
             np.maximum.at(high, which, key)
             one = (low == high)[which]
         local = unpacked([b for b in table.column("repeats").to_pylist() if b])
-        parts = [result(repeats, 0), result(local, 0), result(take(own, ~one), 1)]
+        parts = [result(window_runs(repeats), 0), result(local, 0), result(take(own, ~one), 1)]
         return pa.table([pa.concat_arrays([p[i] for p in parts]) for i in range(len(names))], names)
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, anchors binary, repeats binary")
