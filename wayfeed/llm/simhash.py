@@ -267,6 +267,10 @@ def wide_links(values: DataFrame, radius: int, most: int = 4096, levels: int = 3
             return pa.RecordBatch.from_arrays([pa.array(v[k]), pa.array(v[root[k]])], ["a", "b"]) if len(k) else None
 
         for batch in batches:
+            dealt_to = batch.column(0).to_numpy()
+            paired = np.ones(len(dealt_to) + 1, bool)  # the groups of the first and last row may go on in other batches
+            paired[1:-1] = dealt_to[1:] == dealt_to[:-1]
+            batch = batch.take(pa.array(np.flatnonzero(paired[1:] | paired[:-1])))
             for group, one, bits in zip(*(c.to_pylist() for c in batch.columns)):
                 if group != held_group:
                     if out := links():
@@ -281,13 +285,15 @@ def wide_links(values: DataFrame, radius: int, most: int = 4096, levels: int = 3
     for level in range(1, levels + 1):
         dealt = left.select("id", "print", "keys", F.col("way").alias("before"), "group", F.posexplode("keys").alias("way", "key")).filter("way > before")
         dealt = dealt.withColumn("group", F.xxhash64("group", "way", "key"))
-        sizes = stored(dealt.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-groups")
-        small = sizes if level == levels else sizes.filter(F.col("n") <= most)
-        rows = dealt.join(small.select("group"), "group", "left_semi").select("group", "id", "print")
-        links = rows.repartition(n_shuffle(spark), "group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
+        # Only the few large groups are looked up; a value alone in its group takes the same shuffle and is passed over.
+        large = dealt.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("group")
+        large = stored(large, "simhash-groups") if level < levels else None
+        more = large is not None and large.limit(1).count() > 0
+        rows = dealt.join(large, "group", "left_anti") if more else dealt
+        links = rows.select("group", "id", "print").repartition(n_shuffle(spark), "group")
+        links = links.sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
         found = links if found is None else found.union(links)
-        large = sizes.filter(F.col("n") > most).select("group")
-        if level == levels or not large.limit(1).count():
+        if not more:
             return found
         left = dealt.join(large, "group", "left_semi").select("id", "print", "keys", "way", "group")
 
