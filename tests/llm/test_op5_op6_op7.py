@@ -217,3 +217,16 @@ def test_wide_links_join_what_brute_force_joins(spark):
                 root[max(up(i), up(j))] = min(up(i), up(j))
     got = {r.node: r.component for r in common.components(simhash.wide_links(values, radius), "test").collect()}
     assert {k: got.get(k, k) for k in range(120)} == {k: up(k) for k in range(120)}
+
+
+def test_wide_links_lose_no_pair_of_a_large_group(spark):
+    """One key shared by all, the others by none: every near pair is found however small the parts."""
+    rng = random.Random(31)
+    prints = []
+    for _ in range(100):
+        x = rng.getrandbits(512)
+        prints += [x, x ^ sum(1 << b for b in rng.sample(range(512), 60))]
+    rows = [(k, bytearray(p.to_bytes(64, "big")), [7] + [1000 * k + j for j in range(31)]) for k, p in enumerate(prints)]
+    values = spark.createDataFrame(rows, "id long, print binary, keys array<int>")
+    got = {(r.node, r.component) for r in common.components(simhash.wide_links(values, 85, 20), "test").collect()}
+    assert got == {(k, k - k % 2) for k in range(200)}

@@ -248,11 +248,12 @@ def wide_radius(similarity: float, margin: float = 1.0) -> int:
     return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_links(values: DataFrame, radius: int, most: int = 4096, levels: int = 3) -> DataFrame:
-    """Links (a, b) of ids that connect values (id, print, keys) within the radius that agree in a key.
+def wide_links(values: DataFrame, radius: int, most: int = 4096, rounds: int = 3) -> DataFrame:
+    """Links (a, b) of ids that connect all values (id, print, keys) within the radius that agree in a key.
 
     Each group of values that agree in a key is one BK-tree, built where the group lies; it gives one link for a value
-    at most.  Groups above ``most`` values are dealt again by a further key each, ``levels`` keys at most.
+    at most.  A group above ``most`` values is cut into parts of about that size, and each two parts are one tree, so
+    any two of its values meet and no task holds more than two parts.
     """
     spark = values.sparkSession
 
@@ -281,21 +282,23 @@ def wide_links(values: DataFrame, radius: int, most: int = 4096, levels: int = 3
         if out := links():
             yield out
 
-    found, left = None, values.select("id", "print", "keys", F.lit(-1).alias("way"), F.lit(0).cast("long").alias("group"))
-    for level in range(1, levels + 1):
-        dealt = left.select("id", "print", "keys", F.col("way").alias("before"), "group", F.posexplode("keys").alias("way", "key")).filter("way > before")
-        dealt = dealt.withColumn("group", F.xxhash64("group", "way", "key"))
-        # Only the few large groups are looked up; a value alone in its group takes the same shuffle and is passed over.
-        large = dealt.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("group")
-        large = stored(large, "simhash-groups") if level < levels else None
-        more = large is not None and large.limit(1).count() > 0
-        rows = dealt.join(large, "group", "left_anti") if more else dealt
-        links = rows.select("group", "id", "print").repartition(n_shuffle(spark), "group")
-        links = links.sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
-        found = links if found is None else found.union(links)
-        if not more:
-            return found
-        left = dealt.join(large, "group", "left_semi").select("id", "print", "keys", "way", "group")
+    dealt = values.select("id", "print", F.posexplode("keys").alias("way", "key")).select(F.xxhash64("way", "key").alias("group"), "id", "print")
+    # Only the few large groups are looked up; a value alone in its group takes the same shuffle and is passed over.
+    large = stored(dealt.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > most), "simhash-groups")
+    rows = dealt
+    if large.limit(1).count():
+        hot = dealt.join(large.select("group"), "group", "left_semi")
+        rows = dealt.join(large.select("group"), "group", "left_anti").union(tiles(hot, large, most))
+    return rows.repartition(n_shuffle(spark), "group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
+
+
+def tiles(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows (group, id, print) of groups of n rows dealt so that any two of a group meet in one of about 2 * most."""
+    parts = F.ceil(F.col("n") / most).cast("int")
+    rows = rows.join(sizes.withColumn("parts", parts).select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("group", "id", "print", "part", F.explode(other).alias("other"))
+    return rows.select(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("group"), "id", "print")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
