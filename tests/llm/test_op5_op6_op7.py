@@ -230,3 +230,36 @@ def test_wide_links_lose_no_pair_of_a_large_group(spark):
     values = spark.createDataFrame(rows, "id long, print binary, keys array<int>")
     got = {(r.node, r.component) for r in common.components(simhash.wide_links(values, 85, 20), "test").collect()}
     assert got == {(k, k - k % 2) for k in range(200)}
+
+
+def test_near_copies_are_those_of_exact_similarity(spark, make_docs):
+    """Pairs below 0.8 stay, also short ones; pairs at 0.8 or more link."""
+    rng = random.Random(32)
+    texts, want = [], {}
+    for k in range(150):
+        base = words(rng, (8, 9, 15, 40, 240)[k % 5])
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, len(base) * (k % 3 + 1) // 90)):
+            copy[at] = "edited"
+        texts += [" ".join(base), " ".join(copy if k % 5 > 1 else base + words(rng, 1))]
+        want[2 * k + 1] = 2 * k if jaccard(*texts[-2:]) >= 0.8 else 2 * k + 1
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(make_docs(texts)).collect()}
+    assert 30 < sum(k % 2 and v == k for k, v in want.items()) < 120
+    wrong = [k for k in want if got[k] < want[k]]
+    missed = [k for k in want if got[k] > want[k]]
+    assert not wrong and len(missed) <= 3 and all(len(texts[k].split()) > 80 for k in missed)
+
+
+@pytest.mark.parametrize("budget", [10**6, 60])
+def test_open_links_connect_what_brute_force_connects(spark, budget):
+    rng = random.Random(33)
+    sets = [sorted(rng.sample(range(24), rng.randint(17, 22))) for _ in range(60)]
+    rows = [(k, k % 2, len(x), bytearray(np.array(x, np.uint64).tobytes())) for k, x in enumerate(sets)]
+    near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    links = [(i, j) for i in range(60) for j in range(i % 2, i, 2) if near(sets[i], sets[j])]
+    frame = spark.createDataFrame(rows, "node long, component long, size long, members binary")
+    known = links[: len(links) // 8]
+    parts = common.components(spark.createDataFrame(known, "a long, b long"), "test")
+    got = [(r.a, r.b) for r in simhash.open_links(frame, parts, 0.8, budget).collect()]
+    assert {(max(x), min(x)) for x in got} <= set(links)
+    assert reachable(range(60), got + known) == reachable(range(60), links)

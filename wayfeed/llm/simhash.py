@@ -191,6 +191,7 @@ def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int =
 # ---------------------------------------------------------------- near copies by five-word similarity
 
 PRINT_VIEWS, KEY_VIEWS, N_KEYS, KEY_BITS = 8, 11, 32, 22  # 512 bits to compare; 704 bits make 32 keys
+SHORT = 80  # up to so many shingles the smallest hashes of a text find its copies; majority bits of few hashes say little
 
 
 def shingle_hashes(hashed: np.ndarray, words: int) -> np.ndarray:
@@ -218,28 +219,55 @@ def wide_print(text: bytes, words: int = 5) -> tuple[bytes, np.ndarray]:
     Word pairs change less than longer shingles when words are edited, so near copies agree in a key more often, while
     texts that share only their common words do not.
     """
+    hashed = hashed_words(text)
+    return print_and_keys(hashed, shingle_hashes(hashed, words))
+
+
+def hashed_words(text: bytes) -> np.ndarray:
     import xxhash
 
     tokens = text.lower().split()
-    if not tokens:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def print_and_keys(hashed: np.ndarray, shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
+    if not len(hashed):
         return bytes(8 * PRINT_VIEWS), np.zeros(N_KEYS, np.int32)
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
     keys = wide_bits(shingle_hashes(hashed, 2), KEY_VIEWS).reshape(N_KEYS, KEY_BITS)
-    return np.packbits(wide_bits(shingle_hashes(hashed, words), PRINT_VIEWS)).tobytes(), keys @ (1 << np.arange(KEY_BITS, dtype=np.int32))
+    return np.packbits(wide_bits(shingles, PRINT_VIEWS)).tobytes(), keys @ (1 << np.arange(KEY_BITS, dtype=np.int32))
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Of two sets of that Jaccard similarity, one of n members, so many smallest members of each share one at least."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def text_shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text; one hash, zero, for a text without a word."""
+    return shingle_hashes(hashed_words(text), words)
 
 
-def wide_prints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, print (64 bytes), keys (32 ints) of every whole text; NULL is empty."""
+def wide_prints(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """For every row doc_id, h (hash of the text), node (hash of the shingle set), size (of the set), print (64 bytes),
+    keys (32 ints), prefix (the smallest shingle hashes of a short text, else none); NULL is empty."""
 
     def step(rows, data, offsets):
+        import xxhash
+
         raw = data.tobytes()
-        made = [wide_print(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        hashed = [hashed_words(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        sets = [shingle_hashes(x, words) for x in hashed]
+        made = [print_and_keys(x, y) for x, y in zip(hashed, sets)]
         keys = pa.array(np.concatenate([k for _, k in made]).astype(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * N_KEYS), keys)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([p for p, _ in made], pa.binary()), lists], ["doc_id", "print", "keys"])
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        prefixes = [x[: prefix_size(len(x), similarity)].view(np.int64).tolist() if len(x) <= SHORT else [] for x in sets]
+        columns = [rows.column(0), rows.column(2), pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([p for p, _ in made], pa.binary()), lists, pa.array(prefixes, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "size", "print", "keys", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_text(docs.select("doc_id", "text"), step, f"doc_id {kind}, print binary, keys array<int>")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return map_text(source, step, f"doc_id {kind}, h long, node long, size long, print binary, keys array<int>, prefix array<long>")
 
 
 def wide_radius(similarity: float, margin: float = 1.0) -> int:
@@ -301,17 +329,127 @@ def tiles(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     return rows.select(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("group"), "id", "print")
 
 
+def like(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two arrays of distinct members have that Jaccard similarity at least."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def true_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links (a, b) whose sets (node, members) have that Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = [like(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"of_{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def set_links(nodes: list[int], parts: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes of different parts whose sets have that similarity; each node has one to a part at most."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, part = np.unique(np.array(parts, np.int64), return_inverse=True)
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(member, kind="stable")
+    owner, first = np.repeat(np.arange(len(n)), n)[order], np.concatenate([[0], np.cumsum(np.bincount(member))])
+    ends, links = np.cumsum(n), []
+    for k in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
+        own = member[ends[k] - n[k] : ends[k]]
+        many = first[own + 1] - first[own]
+        place = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(owner[place], minlength=len(n))
+        fit = np.flatnonzero((both >= similarity * (n + n[k] - both) - 1e-9) & (part != part[k]))
+        links += [(nodes[k], nodes[fit[j]]) for j in np.unique(part[fit], return_index=True)[1].tolist()]
+    return links
+
+
+def open_links(sets: DataFrame, parts: DataFrame, similarity: float, budget: int = 1_000_000) -> DataFrame:
+    """Links (a, b) of that similarity that connect the parts of each component; sets has node, component, members, size.
+
+    ``parts`` (node, component) are what true links connect already.  Each set outside the largest part of its component
+    meets every other set of the component in a group of about two times ``budget`` members; sets of one part need not.
+    """
+    spark = sets.sparkSession
+    named = sets.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    named = stored(named, "simhash-parts")
+    weights = named.groupBy("component", "part").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    whole = weights.groupBy("component").agg(F.count("*").alias("many"), F.max(F.struct("n", "part", "weight")).alias("main"), F.sum("weight").alias("weight"))
+    cut = lambda w: F.greatest(F.ceil(w / budget), F.lit(1)).cast("int")
+    whole = whole.filter("many > 1").select("component", F.col("main.part").alias("main"), cut(F.col("main.weight")).alias("n_main"), cut(F.col("weight") - F.col("main.weight")).alias("n_rest"))
+    rows = named.join(whole, "component").withColumn("is_main", F.col("part") == F.col("main"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    rest, main = F.sequence(F.lit(0), F.col("n_rest") - 1), F.sequence(F.lit(0), F.col("n_main") - 1)
+    met_by_main = F.transform(rest, lambda j: F.struct(j.alias("lo"), (F.col("n_rest") + F.col("at")).alias("hi")))
+    met_by_rest = F.concat(
+        F.transform(main, lambda j: F.struct(F.col("at").alias("lo"), (F.col("n_rest") + j).alias("hi"))),
+        F.transform(F.filter(rest, lambda j: j != F.col("at")), lambda j: F.struct(F.least(F.col("at"), j).alias("lo"), F.greatest(F.col("at"), j).alias("hi"))),
+    )
+    rows = rows.select("node", "part", "members", "component", F.explode(F.when(F.col("is_main"), met_by_main).otherwise(met_by_rest)).alias("t"))
+    rows = rows.select(F.xxhash64("component", "t.lo", "t.hi").alias("tile"), "node", "part", "members")
+
+    def run(batches):
+        tile, nodes, own, held = None, [], [], []
+
+        def links():
+            found = set_links(nodes, own, held, similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for t, node, part, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != tile:
+                    yield links()
+                    tile, nodes, own, held = t, [], [], []
+                nodes.append(node)
+                own.append(part)
+                held.append(np.frombuffer(members, np.uint64))
+        yield links()
+
+    return rows.repartition(n_shuffle(spark), "tile").sortWithinPartitions("tile", "node").mapInArrow(run, "a long, b long")
+
+
+def near_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id, h (xxhash64 of the text), component (a number for each group of near copies) of every row with an id.
+
+    Candidates are texts whose 512-bit fingerprints differ as those of texts of that Jaccard similarity do, three
+    standard errors allowed, and that agree in one of 32 keys; short texts are candidates if they share one of their
+    smallest shingle hashes, which no two texts of that similarity miss.  Only pairs whose sets of shingles have the
+    similarity link: first the candidates, then all sets of a component of candidates that are not connected by that.
+    """
+    held = stored(wide_prints(docs.filter("doc_id is not null"), words, similarity), "simhash-wide")
+    values = held.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min("size").alias("size"), F.min("print").alias("print"), F.min("keys").alias("keys"), F.min("prefix").alias("prefix"))
+    values = stored(values, "simhash-values")
+    short = values.select("node", F.explode("prefix").alias("member"))
+    lowest = short.groupBy("member").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    pairs = wide_links(values.select(F.col("node").alias("id"), "print", "keys"), wide_radius(similarity, 3.0)).union(short.join(lowest, "member").select(F.col("node").alias("a"), "b"))
+    pairs = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    rough = stored(components(pairs, "simhash-rough"), "simhash-components")
+
+    def step(rows, data, offsets):
+        raw = data.tobytes()
+        made = [text_shingles(raw[a:b], words).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(made, pa.binary())], ["node", "component", "size", "members"])
+
+    want = rough.join(values.select("node", "row.doc_id", "row.h", "size"), "node")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(want, ["doc_id", "h"]).select("node", "component", "text", "size")
+    sets = map_text(texts, step, "node long, component long, size long, members binary")
+    sets = stored(sets.dropDuplicates(["node"]), "simhash-sets")
+    links = stored(true_links(pairs, sets, similarity), "simhash-true")
+    links = links.union(open_links(sets, components(links, "simhash-parts"), similarity))
+    named = values.join(components(links, "simhash-near"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return held.select("doc_id", "h", "node").join(named, "node").select("doc_id", "h", "component")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over links) of every id: near copies by shingles of words.
 
-    Two texts link if 512-bit fingerprints of their distinct shingles differ as those of texts of that Jaccard
-    similarity do, one standard error allowed, and if they agree in one of 32 keys.  Texts with equal fingerprints are
-    one value throughout.  Texts without a word have fingerprint zero and are copies of each other.  Rows with the same
-    id are one document; rows with a NULL id are left out.
+    See ``near_rows``.  Texts without a word are copies of each other.  Rows with the same id are one document; rows
+    with a NULL id are left out.
     """
-    held = stored(wide_prints(docs.filter("doc_id is not null"), words), "simhash-wide")
-    values = held.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys"))
-    values = stored(values.withColumn("id", F.col("id").cast("long")), "simhash-values")
-    groups = components(wide_links(values, wide_radius(similarity)), "simhash-near")
-    named = values.join(groups.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    return held.join(named, "print").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rows = near_rows(docs, similarity, words)
+    named = rows.join(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
+    return named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
