@@ -263,3 +263,17 @@ def test_open_links_connect_what_brute_force_connects(spark, budget):
     got = [(r.a, r.b) for r in simhash.open_links(frame, parts, 0.8, budget).collect()]
     assert {(max(x), min(x)) for x in got} <= set(links)
     assert reachable(range(60), got + known) == reachable(range(60), links)
+
+
+def test_wide_links_bound_the_work_of_a_family(spark, monkeypatch):
+    """Thousands of nearly equal values link to centres; hardly any is left to be dealt in tiles."""
+    rng, dealt = random.Random(34), []
+    base = rng.getrandbits(512)
+    prints = [base ^ sum(1 << b for b in rng.sample(range(512), 18)) for _ in range(3000)]
+    outer = [p ^ sum(1 << b for b in rng.sample(range(512), 75)) for p in prints[:20]]
+    rows = [(k, bytearray(p.to_bytes(64, "big")), [5] * 3) for k, p in enumerate(prints + outer)]
+    whole = simhash.tiles
+    monkeypatch.setattr(simhash, "tiles", lambda rows, *more: dealt.append(rows.count()) or whole(rows, *more))
+    values = spark.createDataFrame(rows, "id long, print binary, keys array<int>")
+    got = {r.node: r.component for r in common.components(simhash.wide_links(values, 101, 100), "test").collect()}
+    assert got == {k: 0 for k in range(3020)} and dealt[0] <= 3 * 20

@@ -280,8 +280,10 @@ def wide_links(values: DataFrame, radius: int, most: int = 4096, rounds: int = 3
     """Links (a, b) of ids that connect all values (id, print, keys) within the radius that agree in a key.
 
     Each group of values that agree in a key is one BK-tree, built where the group lies; it gives one link for a value
-    at most.  A group above ``most`` values is cut into parts of about that size, and each two parts are one tree, so
-    any two of its values meet and no task holds more than two parts.
+    at most.  A group above ``most`` values first links values to a few of its own (``to_centres``) in ``rounds``
+    rounds; what is not close to one is cut into parts of about ``most``, and each two parts are one tree, so any two
+    of its values meet and no task holds more than two parts.  Values further apart than the radius, up to 1.5 times,
+    may then link too: the components are those of all near pairs or larger ones, to be held against the sets.
     """
     spark = values.sparkSession
 
@@ -310,14 +312,60 @@ def wide_links(values: DataFrame, radius: int, most: int = 4096, rounds: int = 3
         if out := links():
             yield out
 
+    def trees(rows):
+        return rows.repartition(n_shuffle(spark), "group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
+
     dealt = values.select("id", "print", F.posexplode("keys").alias("way", "key")).select(F.xxhash64("way", "key").alias("group"), "id", "print")
     # Only the few large groups are looked up; a value alone in its group takes the same shuffle and is passed over.
     large = stored(dealt.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > most), "simhash-groups")
-    rows = dealt
     if large.limit(1).count():
-        hot = dealt.join(large.select("group"), "group", "left_semi")
-        rows = dealt.join(large.select("group"), "group", "left_anti").union(tiles(hot, large, most))
-    return rows.repartition(n_shuffle(spark), "group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
+        hot, found = dealt.join(large.select("group"), "group", "left_semi"), None
+        for k in range(rounds):
+            placed = stored(to_centres(hot, radius, k), "simhash-centres")
+            links = placed.select(F.col("id").alias("a"), F.explode("centres").alias("b")).filter("a <> b")
+            found = links if found is None else found.union(links)
+            hot = placed.filter("print is not null").select("group", "id", "print")
+            sizes = stored(hot.groupBy("group").agg(F.count("*").alias("n")), "simhash-groups")
+            if not sizes.filter(F.col("n") > most).limit(1).count():
+                break
+        rows = dealt.join(large.select("group"), "group", "left_anti").union(tiles(hot, sizes, most))
+        return trees(rows).union(found)
+    return trees(dealt)
+
+
+def to_centres(rows: DataFrame, radius: int, turn: int, n: int = 8) -> DataFrame:
+    """Rows (group, id, print, centres): ids of up to ``n`` values of the group, one for each set of linked centres.
+
+    Within half the radius of a centre (``tight``) a value needs no other link, and its print is NULL: whatever is
+    within the radius of it is within radius + tight of that centre, and so links to the centre itself.
+    """
+    tight = radius // 2
+    drawn = rows.groupBy("group", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(n)).alias("salt"))
+    drawn = drawn.agg(F.min(F.struct(F.xxhash64("id", F.lit(turn + 1000)).alias("at"), "id", "print")).alias("c"))
+    drawn = drawn.groupBy("group").agg(F.collect_list(F.struct("c.id", "c.print")).alias("drawn"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, ids, prints, drawn = batch.columns
+            own = np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(-1, PRINT_VIEWS)
+            centres, tight_to = [None] * len(own), np.zeros(len(own), bool)
+            _, first, which = np.unique(groups.to_numpy(), return_index=True, return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            for at, rows in zip(first.tolist(), np.split(order, np.cumsum(np.bincount(which))[:-1])):
+                held = sorted((c["id"], c["print"]) for c in drawn[at].as_py())
+                c = np.frombuffer(b"".join(x for _, x in held), np.uint64).reshape(-1, PRINT_VIEWS)
+                apart = lambda x, c=c: np.bitwise_count(x[:, None] ^ c[None]).sum(axis=2, dtype=np.int64)
+                root = local_roots(len(c), *np.nonzero(apart(c) <= radius + tight))
+                far = apart(own[rows])
+                tight_to[rows] = far.min(axis=1) <= tight
+                for k, near in zip(rows.tolist(), far <= radius + tight):
+                    centres[k] = [held[j][0] for j in np.unique(root[near]).tolist()]
+            left = pa.array([None if t else p for t, p in zip(tight_to.tolist(), prints.to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([groups, ids, left, pa.array(centres, pa.list_(pa.int64()))], ["group", "id", "print", "centres"])
+
+    return rows.join(drawn, "group").select("group", "id", "print", "drawn").mapInArrow(run, "group long, id long, print binary, centres array<long>")
 
 
 def tiles(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
