@@ -16,14 +16,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; one row for each id; rows without an id stay.
+    """One row of each group of near copies, that of the smallest id and then text hash; rows without an id stay.
 
-    Near copies have five-word shingles of a Jaccard similarity of about 0.8 or more by their SimHash fingerprints.
+    Near copies have five-word shingles of a Jaccard similarity of 0.8 or more.  Different texts under one id are
+    judged each; of rows with the same id and text one stays.
     """
-    groups = simhash.near_copies(docs)
-    kept = docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    rows = simhash.near_rows(docs)
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("row")).select(F.col("row.doc_id").alias("own_id"), F.col("row.h").alias("own_h"))
+    kept = docs.join(first, (docs["doc_id"] == first["own_id"]) & (F.xxhash64(docs["text"]) == first["own_h"]), "left_semi")
+    if rows.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+        row = F.struct(*docs.columns)
+        kept = kept.groupBy("doc_id", F.xxhash64("text").alias("own_h")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 

@@ -170,3 +170,11 @@ def test_stages_on_empty_and_odd_rows(spark, make_docs, odd_texts, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     got = {r.doc_id for r in docs.collect()}
     assert None in got and 99 in got and 8 not in got
+
+
+def test_different_texts_of_one_id_are_judged_each(spark, make_docs):
+    rng = random.Random(41)
+    one, two, three = (" ".join(words(rng, 60)) for _ in range(3))
+    docs = make_docs([one, one, two, three, three, three], [3, 5, 5, 7, 7, None])
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([("3", one), ("5", two), ("7", three), ("None", three)])
