@@ -76,3 +76,13 @@ def test_best_fit_by_hand():
 
 def test_packing_of_no_rows(make_docs):
     assert packing.best_fit(make_docs([])).count() == 0
+
+
+def test_rows_of_one_id_spread_over_groups(make_docs):
+    texts = ["a few words"] * 3000 + ["some more words here"] * 2000
+    got = packing.best_fit(make_docs(texts, [None] * 3000 + [7] * 2000), per_group=100).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.bin_id >> 32] = sizes.get(r.bin_id >> 32, 0) + 1
+    assert len(got) == 5000 and sum(r.doc_id is None and r.n_tokens == 4 for r in got) == 3000
+    assert len(sizes) == 50 and max(sizes.values()) <= 200
