@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, kd_shards, language, lattice, packing, quality, simhash, suffixes, token_counts
+from . import balanced_packing, decontaminate, embeddings, fill_in_middle, kd_shards, language, lattice, packing, quality, ranked_search, simhash, suffixes, token_counts
 from .common import id_remainder, table
 
 
@@ -62,11 +62,36 @@ def op10_quality(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    done = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+def coder_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op13_balanced_packing(spark, sf_dir):
+    pieces = balanced_packing.balanced_sequences(table(spark, sf_dir, "documents"), *coder_paths())
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*columns, "sequence_tokens", "sequence_cost")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_lattice_score, op3_best_fit_packing, op4_language_id, op5_embedding_near_dedup, op6_kd_shards,
-        op7_simhash_bk_tree, op8_bm25_decontamination, op9_suffix_dedup, op10_quality,
+        op7_simhash_bk_tree, op8_bm25_decontamination, op9_suffix_dedup, op10_quality, op11_ranked_search, op12_fill_in_middle,
+        op13_balanced_packing,
     )
 }
 
@@ -88,4 +113,46 @@ ORACLES = {
         SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
         FROM embeddings e JOIN components c ON c.a = e.vec_id LEFT JOIN counts n ON n.a = e.vec_id
     """,
+    "op11_ranked_search": r"""
+        WITH doc_terms AS (
+            SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), sized AS (SELECT row, doc_id, terms, len(terms)::BIGINT AS n FROM doc_terms WHERE len(terms) > 0),
+        stats AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+        item_terms AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), counted AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY row, term),
+        postings AS (SELECT c.* FROM counted c WHERE term IN (SELECT term FROM item_terms)),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, stats GROUP BY term, big_n
+        ), impacts AS (
+            SELECT p.row, p.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))) AS part
+            FROM postings p JOIN sized s USING (row) JOIN weights USING (term), stats
+        ), scores AS (SELECT item_id, row, sum(part)::BIGINT AS score FROM item_terms JOIN impacts USING (term) GROUP BY item_id, row),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+            FROM scores JOIN sized USING (row) WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 50
+    """,
+    "op12_fill_in_middle": r"""
+        WITH hashed AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+                sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS sha FROM documents
+        ), drawn AS (
+            SELECT *, len(lines) AS n, ('0x' || substr(sha, 1, 8))::BIGINT % (len(lines) + 1) AS one,
+                ('0x' || substr(sha, 9, 8))::BIGINT % (len(lines) + 1) AS two, ('0x' || substr(sha, 25, 8))::BIGINT % 100 < 50 AS spm,
+                t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM hashed
+        ), cut AS (
+            SELECT *, array_to_string(lines[1:least(one, two)], '') AS prefix, array_to_string(lines[least(one, two) + 1:greatest(one, two)], '') AS middle,
+                array_to_string(lines[greatest(one, two) + 1:n], '') AS suffix FROM drawn
+        )
+        SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+            CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+            sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM cut
+    """,
 }
