@@ -112,9 +112,8 @@ def balanced_sequences(docs: DataFrame, json_path: str, ranks_path: str, capacit
 
     Pieces are dealt by a hash into groups of about ``group_bytes`` of text, each packed by one task: a group
     leaves less than one sequence of padding and what ``least`` costs.  A group is sized by all bytes of the table, so
-    huge documents spread over groups, and repeated rows are told apart by a number, so they spread too.  The result does not
-    depend on how the table is split, but for which of several equal rows gets which place.  A NULL or empty text is
-    one id; ids may be NULL or repeated; other columns are ignored; an empty table gives an empty result.
+    huge documents spread over groups, and repeated rows are told apart by task and number, so they spread too.  Without
+    repeated rows the result does not depend on how the table is split.  A NULL or empty text is one id; ids may be NULL or repeated; other columns are ignored; an empty table gives an empty result.
     """
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
