@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..schemas import ENVELOPE
+from ..sources import feed, recording
 from ..sources.paths import shared_dir
+from ..streaming import late
 from ..streaming import medallion as m
 from .departures import SQL_ENRICHED
 from .feed import _ROUTED
 from .registry import query
-from .views import heartbeat_rows, messages, routes_of_regions, stops_of_nations
+from .views import SQL_PARSED, heartbeat_rows, messages, routes_of_regions, stops_of_nations
 
 
 def _as_stream(spark, df, name):
@@ -71,3 +73,83 @@ def feed_replay(spark, sf_dir):
     """The whole chain, raw rows to departures."""
     path = _replay(spark, sf_dir)["departures"]
     return spark.read.parquet(path).withColumn("operating_day", F.col("operating_day").cast("date"))
+
+
+# ---------------------------------------------------------------- recordings in arrival order
+
+_PER_BATCH = 4_000
+# Every seventh event arrives an hour late; the last copy of every fifth event 100 seconds after the others.
+_DELAYED = "CASE WHEN event_id % 7 = 3 THEN 3600 ELSE 0 END + CASE WHEN n = 3 AND event_id % 5 = 0 THEN 100 ELSE 0 END"
+
+
+def arrivals(spark, sf_dir):
+    """The messages as recorded lines, a file for each day of arrival, rows in the order of arrival."""
+    rows = messages(spark, sf_dir, numbered=True).withColumnRenamed("copy", "n")
+    rows = rows.withColumn("arrived_at", F.timestamp_micros(F.unix_micros("received_at") + F.expr(_DELAYED).cast("bigint") * 1_000_000))
+    path = shared_dir(spark, "arrivals")
+    day = F.to_date("arrived_at")
+    recorded = rows.select("topic", "payload", F.col("arrived_at").alias("received_at"), "event_id", "n", day.cast("string").alias("day"))
+    # One task writes a day, so its lines have one order; days are what spreads over tasks.
+    ordered = recorded.repartition("day").sortWithinPartitions("day", "received_at", "event_id", "n")
+    ordered.drop("event_id", "n").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").partitionBy("day").json(path)
+    return path
+
+
+_ARRIVALS = f"""{SQL_PARSED},
+arrived AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(arrived_at AS DATE), arrived_at, event_id, n) AS position FROM (
+    SELECT p.*, c.n, p.first_received_at + to_milliseconds(c.n) + to_seconds({_DELAYED}) AS arrived_at
+    FROM parsed p JOIN (VALUES (0), (1), (2), (3)) c(n) ON c.n = 0 OR p.event_type = 'vp')
+),
+batched AS (SELECT *, (position - 1) // {_PER_BATCH} AS batch FROM arrived)"""
+
+
+def _recorded(spark, sf_dir):
+    path = arrivals(spark, sf_dir)
+    spark.dataSource.register(recording.RecordingSource)
+    reader = spark.readStream.format("recorded_lines").option("path", path).option("rowsPerBatch", _PER_BATCH).option("suffix", ".json")
+    return reader.load()
+
+
+@query(
+    "recording_stream",
+    f"""WITH {_ARRIVALS}
+SELECT strftime(arrived_at, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) AS lines, min(arrived_at) AS first_at, max(arrived_at) AS last_at
+FROM arrived GROUP BY 1, 2""",
+)
+def recording_stream(spark, sf_dir):
+    """The recording through the streaming data source, stopped after each batch and started again from its checkpoint."""
+    out = shared_dir(spark, "recording-stream")
+    lines = recording.recorded_rows(_recorded(spark, sf_dir))
+    writer = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark")
+    m.run(writer).awaitTermination()  # a bounded run takes the one batch it asked for
+    recording.run_to_end(writer)
+    got = ev.parse_topic(spark.read.schema(lines.schema).parquet(out))
+    day = F.regexp_extract("file", "day=([0-9-]+)", 1).alias("day")
+    return got.groupBy(day, "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("file", "line").alias("lines"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at")
+    )
+
+
+@query(
+    "late_rows",
+    f"""WITH {_ARRIVALS},
+marks AS (
+  SELECT batch, max(max(epoch_us(tst) // 1000) FILTER (WHERE vehicle_id IS NOT NULL)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 120000 AS mark
+  FROM batched GROUP BY batch
+),
+judged AS (
+  SELECT b.*, vehicle_id IS NOT NULL AND tst IS NOT NULL AS keyed, coalesce(epoch_us(tst) // 1000 <= mark, false) AS late FROM batched b JOIN marks USING (batch)
+)
+SELECT event_type, outcome, count(*) AS n FROM (
+  SELECT event_type, CASE WHEN NOT keyed THEN 'kept' WHEN late THEN 'late'
+    WHEN row_number() OVER (PARTITION BY keyed, late, vehicle_id, event_type, tst ORDER BY position) = 1 THEN 'kept' ELSE 'copy' END AS outcome
+  FROM judged) GROUP BY 1, 2""",
+)
+def late_rows(spark, sf_dir):
+    """Events kept, copies and late rows of a late-shuffled recording; the counts add up to its lines."""
+    out = shared_dir(spark, "late")
+    raw = feed.with_envelope(recording.recorded_rows(_recorded(spark, sf_dir)), "s1")
+    tagged = late.tag_copies_and_late(ev.normalize_events(raw), slot_s=86_400, buckets=8).select("event_type", "outcome")
+    recording.run_to_end(tagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark"))
+    return late.outcome_counts(spark.read.schema(tagged.schema).parquet(out))

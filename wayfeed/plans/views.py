@@ -238,8 +238,11 @@ def feed_type(event_id: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in ("vp", "arr", "pde", "dep")]), (event_id % 4 + 1).cast("int"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1 as raw rows: JSON payloads under a topic; positions arrive four times, some bodies are bad."""
+def messages(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """V1 as raw rows: JSON payloads under a topic; positions arrive four times, some bodies are bad.
+
+    ``numbered`` keeps the event's id and the number of the copy.
+    """
     t = transit(spark, sf_dir, load(spark, sf_dir, "events"))
     kind = feed_type(F.col("event_id"))
     planned = F.col("scheduled_departure")
@@ -274,6 +277,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.create_map(F.upper(kind), body)).alias("payload"),
         "at",
         F.col("event_type").alias("session_id"),
+        "event_id",
         F.explode(copies).alias("copy"),
     ).select(
         "kind",
@@ -281,6 +285,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload",
         F.timestamp_micros(F.unix_micros("at") + 500_000 + F.col("copy") * 1000).alias("received_at"),
         "session_id",
+        *(["event_id", "copy"] if numbered else []),
     )
 
 

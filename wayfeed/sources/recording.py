@@ -194,7 +194,16 @@ def run_to_end(writer) -> StreamingQuery:
     """
     query = writer.trigger(processingTime="0 seconds").start()
     try:
-        query.processAllAvailable()
+        while True:
+            ended = not query.isActive
+            state, last = query.status, query.lastProgress
+            # Idle, or in a batch that only cleans up state: either comes when the source had nothing new.
+            idle = not state["isDataAvailable"] and not state["isTriggerActive"] and state["message"].startswith("Waiting for data")
+            if ended or idle or (last is not None and last.numInputRows == 0):
+                break
+            query.awaitTermination(0.2)
+        if query.exception() is not None:
+            raise query.exception()
     finally:
         query.stop()
     return query
