@@ -135,7 +135,7 @@ def recording_stream(spark, sf_dir):
     "late_rows",
     f"""WITH {_ARRIVALS},
 marks AS (
-  SELECT batch, max(max(epoch_us(tst) // 1000) FILTER (WHERE vehicle_id IS NOT NULL)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 120000 AS mark
+  SELECT batch, max(max(epoch_us(tst) // 1000)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 120000 AS mark
   FROM batched GROUP BY batch
 ),
 judged AS (

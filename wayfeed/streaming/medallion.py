@@ -30,6 +30,7 @@ from ..schemas import DEDUP_KEYS, ENVELOPE
 from ..sources.feed import heartbeat_ledger, read_bronze, read_feed, with_envelope, with_received_date
 from ..sources.paths import children
 from ..sources.tables import drop_old_versions, read_version, versions, write_version
+from .listeners import read_live_heartbeats
 
 
 def run(writer, trigger: str | None = None) -> StreamingQuery:
@@ -111,7 +112,12 @@ def read_heartbeats(spark: SparkSession, path: str) -> DataFrame:
     for folder in (path, replayed(path)):
         if children(spark, folder):
             found = found.unionByName(spark.read.schema(found.schema).option("ignoreMissingFiles", True).parquet(folder))
-    return found
+    return found.unionByName(read_live_heartbeats(spark, live(path))) if children(spark, live(path)) else found
+
+
+def live(path: str) -> str:
+    """Where ``listeners.LiveHeartbeats`` writes the heartbeats of running streams of this table."""
+    return f"{path.rstrip('/')}_live"
 
 
 def replayed(path: str) -> str:
