@@ -72,7 +72,7 @@ def test_kept_copies_and_late_rows_add_up(spark, tmp_path):
     batches = [data[k : k + 90] for k in range(0, len(data), 90)]
     want = brute(batches)
     assert min(want[k] for k in ("kept", "copy", "late")) > 5
-    for name, options in (("fine", {}), ("coarse", {"slot_s": 3600, "buckets": 1})):
+    for name, options in (("fine", {}), ("coarse", {"buckets": 1})):
         got = streamed(spark, tmp_path, batches, name, lambda e, o=options: late.tag_copies_and_late(e, **o))
         counts = {r["outcome"]: r["n"] for r in rows(late.outcome_counts(got).groupBy("outcome").agg(F.sum("n").alias("n")))}
         assert counts == dict(want) and sum(counts.values()) == len(data)

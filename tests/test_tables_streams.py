@@ -196,3 +196,49 @@ def test_paths_follow_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     made = paths.shared_dir(spark, "x")
     assert made.startswith(root) if root else "wayfeed" in made
+
+
+def reference_load(spark, out, version, name):
+    tables.write_version(spark.createDataFrame([("1008", "8", name)], "feed_route_id string, route string, route_name string"), f"{out}/routes", version)
+    tables.write_version(dims(spark)[0].withColumn("stop_name", F.lit(name)), f"{out}/stops", version)
+    tables.write_version(spark.range(1), f"{out}/loaded", version)
+
+
+def test_a_new_reference_load_holds_from_the_next_batch_on(spark, tmp_path):
+    events = ev.stop_events(ev.route_events(ev.dedup_events(ev.normalize_events(bronze(spark, SAMPLE)))))
+    source, ref, out = str(tmp_path / "stop"), str(tmp_path / "ref"), str(tmp_path / "departures")
+
+    def advance():
+        events.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        m.write_departures_refreshed(stream, ref, out, str(tmp_path / "mark")).awaitTermination()
+
+    def found():
+        return sorted({(r["batch"], r["reference_version"], r["stop_name"], r["route_name"]) for r in rows(spark.read.parquet(out)) if r["stop_id"] == "1140451"}, key=str)
+
+    advance()  # nothing loaded yet
+    reference_load(spark, ref, 1, "one")
+    advance()
+    tables.write_version(spark.range(1), f"{ref}/routes", 2)  # a load that broke off
+    advance()
+    reference_load(spark, ref, 3, "three")
+    advance()
+    want = [(0, None, None, None), (1, 1, "one", "one"), (2, 1, "one", "one"), (3, 3, "three", "three")]
+    assert [(b, v, s) for b, v, s, _ in found()] == [(b, v, s) for b, v, s, _ in want]
+    before = spark.read.parquet(out).count()
+    m.departures_of_batch(ref, out)(events, 1)  # a repeated batch: its own load, its own rows
+    assert [(b, v, s) for b, v, s, _ in found()] == [(b, v, s) for b, v, s, _ in want] and spark.read.parquet(out).count() == before
+
+
+def test_the_chain_with_late_rows_and_a_reference_folder(spark, tmp_path):
+    late = message("dep", "tram", 40, 91, "8", "2", "21:10", 0, 1140451, "2026-09-26T18:20:00.000Z", PLAN)
+    reference_load(spark, str(tmp_path / "ref"), 1, "one")
+    write(tmp_path / "in" / "a.jsonl", recorded_lines(SAMPLE))
+    at = m.replay(spark, str(tmp_path / "in"), str(tmp_path / "out"), reference=str(tmp_path / "ref"), show_late=True)
+    first = spark.read.parquet(at["departures"]).count()
+    write(tmp_path / "in" / "b.jsonl", recorded_lines([late, SAMPLE[0]]))
+    at = m.replay(spark, str(tmp_path / "in"), str(tmp_path / "out"), reference=str(tmp_path / "ref"), show_late=True)
+    silver = m.read_silver(spark, at["silver"])
+    lost = rows(silver.where("array_contains(failed_rules, 'behind_watermark')"))
+    assert ("40/91", "rejected") in {(r["vehicle_id"], r["stream"]) for r in lost}
+    assert spark.read.parquet(at["departures"]).count() == first and first > 0

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..schemas import ENVELOPE
-from ..sources import feed, recording
+from ..sources import feed, recording, tables
 from ..sources.paths import shared_dir
 from ..streaming import late
 from ..streaming import medallion as m
 from .departures import SQL_ENRICHED
 from .feed import _ROUTED
 from .registry import query
-from .views import SQL_PARSED, heartbeat_rows, messages, routes_of_regions, stops_of_nations
+from .views import SQL_PARSED, heartbeat_rows, load, messages, routes_of_regions, stops_of_nations
 
 
 def _as_stream(spark, df, name):
@@ -150,6 +150,38 @@ def late_rows(spark, sf_dir):
     """Events kept, copies and late rows of a late-shuffled recording; the counts add up to its lines."""
     out = shared_dir(spark, "late")
     raw = feed.with_envelope(recording.recorded_rows(_recorded(spark, sf_dir)), "s1")
-    tagged = late.tag_copies_and_late(ev.normalize_events(raw), slot_s=86_400, buckets=8).select("event_type", "outcome")
+    tagged = late.tag_copies_and_late(ev.normalize_events(raw), buckets=16).select("event_type", "outcome")
     recording.run_to_end(tagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark"))
     return late.outcome_counts(spark.read.schema(tagged.schema).parquet(out))
+
+
+# ---------------------------------------------------------------- reference data that changes under a stream
+
+_HALF = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
+
+
+@query(
+    "departures_refreshed",
+    f"""WITH {SQL_ENRICHED}, half AS (SELECT {_HALF} AS middle)
+SELECT * EXCLUDE (middle) REPLACE (CASE WHEN departed_at > half.middle THEN 'New ' || stop_name ELSE stop_name END AS stop_name,
+                  CASE WHEN departed_at > half.middle THEN NULL ELSE route_name END AS route_name),
+       CAST(CASE WHEN departed_at > half.middle THEN 2 ELSE 1 END AS BIGINT) AS reference_version
+FROM departures, half""",
+)
+def departures_refreshed(spark, sf_dir):
+    """Departures streamed in two batches; between them the stops are loaded under new names and the routes get lost."""
+    from .feed import routed
+
+    base = shared_dir(spark, "refreshed")
+    events = ev.stop_events(routed(spark, sf_dir))
+    half = F.col("tst") > load(spark, sf_dir, "events").agg(F.expr("timestamp_micros((min(unix_micros(ts)) + max(unix_micros(ts))) div 2)")).scalar()
+    stops, routes = stops_of_nations(spark, sf_dir), routes_of_regions(spark, sf_dir)
+    loads = [(routes, stops), (routes.limit(0), stops.withColumn("stop_name", F.concat(F.lit("New "), "stop_name")))]
+    for version, (part, (some_routes, some_stops)) in enumerate(zip((~half, half), loads), start=1):
+        events.where(part).write.mode("append").parquet(f"{base}/stop-events")
+        tables.write_version(some_routes, f"{base}/reference/routes", version)
+        tables.write_version(some_stops, f"{base}/reference/stops", version)
+        tables.write_version(spark.range(1), f"{base}/reference/loaded", version)
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/stop-events")
+        m.write_departures_refreshed(stream, f"{base}/reference", f"{base}/departures", f"{base}/mark").awaitTermination()
+    return spark.read.parquet(f"{base}/departures").drop("batch").withColumn("operating_day", F.col("operating_day").cast("date"))

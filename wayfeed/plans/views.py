@@ -219,8 +219,13 @@ vehicle_current AS (
 
 
 def last_instant(spark: SparkSession, sf_dir: str) -> Column:
-    """The newest instant of the events table, the ``as_of`` of the queries."""
-    return load(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    """The newest instant of the events table, the ``as_of`` of the queries.
+
+    Read once where the query is built: as a subquery it would be planned again, scan and all, in every bound made of it,
+    and bounds that are literals prune partitions when planning.
+    """
+    micros = load(spark, sf_dir, "events").agg(F.max(F.unix_micros("ts"))).first()[0]
+    return F.timestamp_micros(F.lit(micros).cast("bigint"))
 
 
 SQL_NOW = "(SELECT max(ts) FROM events)"
@@ -243,7 +248,9 @@ def messages(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFr
 
     ``numbered`` keeps the event's id and the number of the copy.
     """
-    t = transit(spark, sf_dir, load(spark, sf_dir, "events"))
+    # A recording is many files; the given table is one row group, so its rows are dealt out before they become text.
+    events = load(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    t = transit(spark, sf_dir, events)
     kind = feed_type(F.col("event_id"))
     planned = F.col("scheduled_departure")
     body = F.struct(

@@ -14,7 +14,7 @@ from ..schemas import DEDUP_KEYS, DEDUP_WATERMARK
 KEPT, COPY, LATE = "kept", "copy", "late"
 
 
-def tag_copies_and_late(events: DataFrame, delay: str = DEDUP_WATERMARK, slot_s: int = 60, buckets: int = 64) -> DataFrame:
+def tag_copies_and_late(events: DataFrame, delay: str = DEDUP_WATERMARK, buckets: int = 64) -> DataFrame:
     """All rows of ``events`` with ``outcome``: ``kept``, ``copy`` or ``late``; the three add up to the input.
 
     As a stream, the watermark is the newest event time of the batches before, less ``delay``.  A row at or behind it, to
@@ -22,10 +22,10 @@ def tag_copies_and_late(events: DataFrame, delay: str = DEDUP_WATERMARK, slot_s:
     rows of a key the first one (by batch, then time received) is ``kept``.  A row without a key cannot have copies
     and is ``kept``.  A batch table has no late rows.
 
-    State is the set of keys seen, held by time slot of the event and hash of the key: a busy vehicle spreads over
-    buckets, one call handles all rows of a slot and bucket, and a slot's state goes once the watermark has passed it.
-    ``slot_s`` and ``buckets`` set the size of the parts and never the result.  The built-in dedup drops late rows
-    without a trace before any state is asked; this operator asks the state without that filter.
+    State is the set of keys seen whose time the watermark has not passed, held in ``buckets`` by a hash of the key: a
+    busy vehicle spreads over all of them, one call handles all rows of a bucket, and a bucket forgets old keys each time it
+    is called.  Give it as many buckets as keep a few thousand keys in each; the number never changes the result.  The
+    built-in dedup drops late rows without a trace before any state is asked; this operator judges them itself.
     """
     keyed = F.lit(True)
     for c in DEDUP_KEYS:
@@ -38,41 +38,31 @@ def tag_copies_and_late(events: DataFrame, delay: str = DEDUP_WATERMARK, slot_s:
         return tagged.unionByName(events.where(~keyed).withColumn("outcome", F.lit(KEPT)))
     moment = F.unix_micros("tst")
     key = F.when(keyed, F.concat_ws("\u0000", *[c for c in DEDUP_KEYS if c != "tst"], moment))
-    # Rows without a key take part with slots of their own, so that the source is read once.
-    slot = F.when(keyed, F.floor(moment / (slot_s * 1_000_000)))
-    bucket = F.pmod(F.xxhash64(key, F.when(~keyed, F.col("received_at"))), F.lit(buckets))
-    marked = events.withWatermark("tst", delay).withColumns({"_key": key, "_us": moment, "_in": F.unix_micros("received_at"), "_slot": slot.cast("bigint"), "_bucket": bucket})
+    spread = F.pmod(F.xxhash64(F.coalesce(key, F.col("received_at").cast("string"))), F.lit(buckets))
+    # Rows without a key take part in buckets of their own, so that the source is read once.
+    bucket = F.when(keyed, spread).otherwise(-1 - spread)
+    marked = events.withWatermark("tst", delay).withColumns({"_key": key, "_us": moment, "_in": F.unix_micros("received_at"), "_bucket": bucket})
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if group[0] is None or pd.isna(group[0]):
+        if group[0] < 0:
             for rows in parts:
                 yield rows.assign(outcome=KEPT)[[*columns, "outcome"]]
             return
-        mark_ms, end_ms = state.getCurrentWatermarkMs(), (int(group[0]) + 1) * slot_s * 1000
-        if state.hasTimedOut:
-            if mark_ms >= end_ms:
-                state.remove()
-            else:
-                state.setTimeoutDuration(slot_s * 1000)
-            return
-        seen = set(state.get[0]) if state.exists else set()
+        mark_ms = state.getCurrentWatermarkMs()
+        seen = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(parts), ignore_index=True).sort_values("_in", kind="stable")
         late = rows["_us"] // 1000 <= mark_ms if mark_ms > 0 else pd.Series(False, rows.index)
         again = rows["_key"].isin(seen) | rows["_key"].where(~late).duplicated()
         rows["outcome"] = KEPT
         rows.loc[again, "outcome"] = COPY
         rows.loc[late, "outcome"] = LATE
-        seen.update(rows.loc[~late, "_key"])
-        if mark_ms >= end_ms:
-            if state.exists:
-                state.remove()
-        elif seen:
-            state.update((sorted(seen),))
-            state.setTimeoutDuration(slot_s * 1000)
+        seen.update(rows.loc[~late, ["_key", "_us"]].itertuples(index=False, name=None))
+        live = {k: us for k, us in seen.items() if us // 1000 > mark_ms}
+        state.update((list(live), list(live.values())))
         yield rows[[*columns, "outcome"]]
 
     schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", outcome string"
-    return marked.groupBy("_slot", "_bucket").applyInPandasWithState(step, schema, "seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return marked.groupBy("_bucket").applyInPandasWithState(step, schema, "keys array<string>, times array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def outcome_counts(tagged: DataFrame) -> DataFrame:

@@ -20,16 +20,19 @@ from ..operators.departures import build_departures
 from ..operators.events import (
     dedup_events,
     normalize_events,
+    observe_rules,
     parse_heartbeats,
     position_events,
     route_events,
     stop_events,
 )
 from ..operators.fleet import current_columns, latest_by_key
-from ..schemas import DEDUP_KEYS, ENVELOPE
+from ..schemas import DEDUP_KEYS, ENVELOPE, LATENESS_PLAUSIBLE
 from ..sources.feed import heartbeat_ledger, read_bronze, read_feed, with_envelope, with_received_date
 from ..sources.paths import children
-from ..sources.tables import drop_old_versions, read_version, versions, write_version
+from ..sources.paths import read_text, write_text
+from ..sources.tables import drop_old_versions, read_reference, read_version, reference_versions, versions, write_version
+from .late import COPY, LATE, tag_copies_and_late
 from .listeners import read_live_heartbeats
 
 
@@ -52,10 +55,14 @@ def write_bronze(raw: DataFrame, path: str, checkpoint: str, trigger: str | None
 
 
 def write_silver(
-    bronze: DataFrame, path: str, checkpoint: str, trigger: str | None = None, files: int = 8
+    bronze: DataFrame, path: str, checkpoint: str, trigger: str | None = None, files: int = 8, show_late: bool = False
 ) -> StreamingQuery:
     """Typed, deduplicated, checked events, partitioned by event date and stream.
 
+    ``show_late`` keeps rows behind the watermark, as ``rejected`` ones with the rule ``behind_watermark``; without it
+    they are dropped and only counted (``listeners.LossLedger``).  Rows checked and those that break the warn rule are
+    observed under the name ``quality``.
+
     Dedup leaves rows of every date in every task, and each task would write a
     file per partition and batch.  Rows are therefore brought together by
     partition first, in ``files`` parts each, so that today's partition, which
@@ -64,8 +71,14 @@ def write_silver(
     # What has no key cannot have copies: it is rejected row by row.
     keyed = " and ".join(f"{c} is not null" for c in DEDUP_KEYS)
     typed = normalize_events(bronze)
-    deduped = dedup_events(typed.where(keyed)).unionByName(typed.where(f"not ({keyed})"))
-    events = route_events(deduped).withColumn("event_date", F.to_date("tst"))
+    if show_late:
+        tagged = tag_copies_and_late(typed).where(F.col("outcome") != COPY)
+        late = F.col("outcome") == LATE
+        rules = F.when(late, F.array_append("failed_rules", F.lit("behind_watermark"))).otherwise(F.col("failed_rules"))
+        routed = route_events(tagged).withColumns({"failed_rules": rules, "stream": F.when(late, "rejected").otherwise(F.col("stream"))}).drop("outcome")
+    else:
+        routed = route_events(dedup_events(typed.where(keyed)).unionByName(typed.where(f"not ({keyed})")))
+    events = observe_rules(routed, "quality", LATENESS_PLAUSIBLE).withColumn("event_date", F.to_date("tst"))
     part = F.pmod(F.xxhash64("vehicle_id", "tst"), F.lit(files))
     writer = (
         events.repartition(F.col("event_date"), F.col("stream"), part)
@@ -148,6 +161,44 @@ def write_departures(
     return run(writer, trigger)
 
 
+def departures_of_batch(reference: str, path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that joins a batch with the newest reference load and appends it.
+
+    Which load a batch used is recorded before its rows are written, so a batch that is repeated uses the same one even
+    if another has come since.  Rows carry it as ``reference_version`` (NULL while nothing is loaded).  A batch owns the
+    partitions (operating_day, batch), so writing it again replaces its rows and no others.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = f"{path.rstrip('/')}_reference/{batch_id:012d}"
+        used = read_text(spark, mark)
+        if used is None:
+            ready = reference_versions(spark, reference)
+            used = str(ready[-1]) if ready else "none"
+            write_text(spark, mark, used)
+        if used == "none":
+            routes = spark.createDataFrame([], "feed_route_id string, route string, route_name string")
+            stops = spark.createDataFrame([], "stop_id string, stop_name string, lat double, long double")
+        else:
+            routes, stops = read_reference(spark, reference, int(used))
+        version = F.lit(None if used == "none" else int(used)).cast("bigint").alias("reference_version")
+        rows = build_departures(batch, stops, routes).select("*", version, F.lit(batch_id).cast("bigint").alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("operating_day", "batch").parquet(path)
+
+    return step
+
+
+def write_departures_refreshed(stop_stream: DataFrame, reference: str, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+    """Departures of a stream whose reference tables may be loaded anew while it runs.
+
+    ``reference`` is the folder of ``tables.load_reference``.  Each micro-batch reads the newest whole load; see
+    :func:`departures_of_batch`.
+    """
+    step = departures_of_batch(reference, path)
+    return run(stop_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint), trigger)
+
+
 def merge_latest(path: str, keys: list[str], seq: str, keep: int = 3) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step that keeps the newest row per key in a versioned snapshot.
 
@@ -189,11 +240,13 @@ def replay(
     spark: SparkSession,
     feed: str | DataFrame,
     out: str,
-    stops: DataFrame,
-    routes: DataFrame,
+    stops: DataFrame | None = None,
+    routes: DataFrame | None = None,
     session_id: str | None = None,
     max_files_per_trigger: int | None = None,
     files: int = 8,
+    reference: str | None = None,
+    show_late: bool = False,
 ) -> dict[str, str]:
     """Run the whole chain over a recorded feed and stop; call again to continue where it ended.
 
@@ -201,6 +254,9 @@ def replay(
     is one Ingestion Session (``session_id``, by default a new one).  Sessions
     that brought no heartbeats, as recordings do not, get those that a reader
     would have written.
+
+    Names come from ``stops`` and ``routes`` as they are at the start, or from the newest load in the folder
+    ``reference`` at each batch.  ``show_late`` keeps late rows among the rejected ones.
     """
     use_utc(spark)
     session_id = session_id or f"replay-{uuid.uuid4().hex}"
@@ -211,15 +267,19 @@ def replay(
         raw = with_envelope(read_feed(spark, feed, True, max_files_per_trigger), session_id)
     write_bronze(raw, at["bronze"], mark["bronze"]).awaitTermination()
     first = [
-        write_silver(read_bronze(spark, at["bronze"], True), at["silver"], mark["silver"], files=files),
+        write_silver(read_bronze(spark, at["bronze"], True), at["silver"], mark["silver"], files=files, show_late=show_late),
         write_heartbeats(read_bronze(spark, at["bronze"], True), at["heartbeats"], mark["heartbeats"]),
     ]
     for query in first:
         query.awaitTermination()
     add_heartbeats(spark, at["bronze"], at["heartbeats"])
     silver = read_silver(spark, at["silver"], True)
+    if reference is not None:
+        departures = write_departures_refreshed(stop_events(silver), reference, at["departures"], mark["departures"])
+    else:
+        departures = write_departures(stop_events(silver), stops, routes, at["departures"], mark["departures"])
     second = [
-        write_departures(stop_events(silver), stops, routes, at["departures"], mark["departures"]),
+        departures,
         write_current(position_events(silver), at["current"], mark["current"]),
     ]
     for query in second:
@@ -248,6 +308,7 @@ __all__ = [
     "write_bronze",
     "write_current",
     "write_departures",
+    "write_departures_refreshed",
     "write_heartbeats",
     "write_silver",
 ]
