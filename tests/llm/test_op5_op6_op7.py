@@ -103,6 +103,20 @@ def test_shards_near_equal(spark, make_docs):
     assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 10
 
 
+def test_shards_are_near_equal_where_half_the_rows_are_alike(spark, make_docs):
+    rng = random.Random(16)
+    texts = [" ".join(words(rng, rng.randint(20, 60))) for _ in range(1500)]
+    docs = make_docs(texts + ["one text of many rows without an id, " * 9] * 1500, [*range(1500), *[None] * 1500])
+    got = kd_shards.kd_shards(docs.repartition(5), shards=40).collect()
+    sizes, slots = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(sizes.values()) / 40
+    assert len(got) == 3000 and set(sizes) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(abs(s - mean) for s in sizes.values()) <= 0.05 * mean
+
+
 def brute_fingerprint(text):
     import xxhash
 

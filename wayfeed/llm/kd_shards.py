@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import stored
+from .common import n_shuffle, stored
 
 BINS = 1024
 DIMENSIONS = {"n_bytes": F.octet_length, "n_chars": F.char_length, "checksum": F.crc32}
@@ -146,14 +146,28 @@ def numbered(rows: DataFrame, group: str, slot: str, per_chunk: int = 50_000, or
     return dealt.withColumn("own", own).join(before.select(group, "chunk", "before"), [group, "chunk"]).withColumn(slot, F.col("before") + F.col("own"))
 
 
+def with_ties(slim: DataFrame, per_block: int = 1000) -> DataFrame:
+    """Adds ``tie``, a hash of the row and of its number among rows alike, so that any group of rows can be cut.
+
+    Rows alike are counted and numbered again, a block of numbers at a time, so no group meets in one task.
+    """
+    columns = slim.columns
+    alike = slim.groupBy(*columns).agg(F.count("*").alias("rows"))
+    alike = alike.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {per_block}"))))
+    alike = alike.repartition(n_shuffle(slim.sparkSession), "doc_id", "checksum", "block")
+    first = F.col("block") * per_block
+    copies = alike.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("rows"), first + per_block) - 1)))
+    return copies.select(*columns, F.shiftright(F.xxhash64("doc_id", "checksum", "size", "copy", F.lit(5)), 2).alias("tie"))
+
+
 def kd_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, dimensions: dict | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; law ``bytes``.
 
     Size is the UTF-8 bytes of the text (NULL: none) plus ``overhead``.  Cells split at the weighted median along the
     dimension that is widest against its span in the whole table, until each holds the bytes of one shard.  All default
     dimensions depend on the text alone, so equal texts share a shard unless a cut falls into a group of over a
-    hundredth of a shard, which is split by a hash of the id.  Rows with NULL ids or repeated rows are placed like any
-    other; an empty table gives an empty result.
+    hundredth of a shard, which is split by a hash of the id and a number among rows alike.  So rows with NULL ids and
+    repeated rows are placed like any other, and may be split; an empty table gives an empty result.
     """
     taken = {name: make for name, make in (dimensions or DIMENSIONS).items()} | {"checksum": F.crc32}
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -161,9 +175,8 @@ def kd_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, dimensions:
         "doc_id",
         (F.octet_length(text) + overhead).cast("long").alias("size"),
         *[make(text).cast("long").alias(name) for name, make in taken.items()],
-        F.shiftright(F.xxhash64("doc_id", F.lit(5)), 2).alias("tie"),
     )
-    rows = stored(slim, "kd-rows")
+    rows = stored(with_ties(slim), "kd-rows")
     root = kd_tree(rows, shards, tuple(taken))
     placed = rows.withColumn("shard", leaf(root).cast("int"))
     return numbered(placed, "shard", "slot").select(
