@@ -86,3 +86,9 @@ def test_rows_of_one_id_spread_over_groups(make_docs):
         sizes[r.bin_id >> 32] = sizes.get(r.bin_id >> 32, 0) + 1
     assert len(got) == 5000 and sum(r.doc_id is None and r.n_tokens == 4 for r in got) == 3000
     assert len(sizes) == 50 and max(sizes.values()) <= 200
+
+
+def test_groups_are_sized_by_pieces(spark, make_docs):
+    docs = make_docs(["x"] * 20).selectExpr("doc_id", "text", "cast(819200 as bigint) as total")
+    got = packing.best_fit(docs, length=docs["total"], per_group=200).groupBy((packing.F.col("bin_id") / (1 << 32)).cast("int").alias("g")).count().collect()
+    assert sum(r["count"] for r in got) == 4000 and len(got) == 20 and max(r["count"] for r in got) < 300

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_shuffle
+from .common import n_shuffle, stored
 
 CAPACITIES = (512, 1024, 2048, 4096)
 
@@ -76,8 +76,8 @@ def best_fit(docs: DataFrame, length: Column | None = None, capacities: tuple[in
 
     ``length`` (default: words and an end mark) counts a row's tokens.  A row longer than the largest capacity is cut
     into pieces of that size and a rest; nothing is dropped.  Pieces are dealt by a hash of id, length and a number among
-    rows alike into groups of about ``per_group``, and each group is packed by one task, so no task or shuffle partition
-    grows with the input, also where many rows have one id or none.  An empty
+    rows alike into groups of about ``per_group`` pieces, and each group is packed by one task, so no task or shuffle
+    partition grows with the input, also where many rows have one id or none or few rows are huge.  An empty
     or NULL text is one token; repeated rows are packed each; an empty table gives an empty result.
     """
     top = max(capacities)
@@ -85,14 +85,15 @@ def best_fit(docs: DataFrame, length: Column | None = None, capacities: tuple[in
     sized = docs.select("doc_id", F.greatest(n.cast("long"), F.lit(1)).alias("total"))
     # Rows of one id and length are alike here: they are counted and numbered, a block of numbers at a time, so that the
     # rows of one id (or none) spread over tasks and groups.
-    alike = sized.groupBy("doc_id", "total").agg(F.count("*").alias("rows"))
+    alike = stored(sized.groupBy("doc_id", "total").agg(F.count("*").alias("rows")), "packing")
+    n_pieces = alike.agg(F.sum(F.col("rows") * F.expr(f"(total - 1) div {top} + 1"))).first()[0] or 0
+    groups = max(1, math.ceil(n_pieces / per_group))
     alike = alike.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(rows - 1) div 1000"))))
     alike = alike.repartition(n_shuffle(docs.sparkSession), "doc_id", "total", "block")
     sized = alike.withColumn("copy", F.explode(F.sequence(F.col("block") * 1000, F.least(F.col("rows"), F.col("block") * 1000 + 1000) - 1)))
     pieces = sized.select(
         "doc_id", "total", "copy", F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / top).cast("int"))).alias("piece")
     ).select("doc_id", "total", "copy", "piece", (F.col("piece").cast("long") * top).alias("piece_start"), F.least(F.lit(top).cast("long"), F.col("total") - F.col("piece").cast("long") * top).alias("n_tokens"))
-    groups = max(1, math.ceil(docs.count() / per_group))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
