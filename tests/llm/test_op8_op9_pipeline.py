@@ -29,6 +29,7 @@ def test_decontamination(spark, make_docs, odd_texts, clashing):
             want[len(texts)] = k
         texts += [" ".join(words(rng, 50) + own[: len(own) // 2]), " ".join(rng.sample(own, len(own)))]
     table = spark.createDataFrame([*enumerate(items), (2, items[2]), (None, "x y z")], ITEM)
+    scores = []
     for block_items in (20_000, 4):
         got = {r.doc_id: r for r in decontaminate.contaminated(clashing(make_docs(texts)), table, block_items=block_items).collect()}
         assert len(got) == len(texts)
@@ -36,6 +37,8 @@ def test_decontamination(spark, make_docs, odd_texts, clashing):
             found = [k for k in got[i].item_ids if k != 11]  # the one-word item is wherever its word is
             assert found == ([want[i]] if i in want else []), (i, found)
             assert got[i].contaminated == (got[i].n_items > 0)
+        scores.append({i: (r.best_score, r.best_overlap) for i, r in got.items()})
+    assert scores[0] == scores[1]  # statistics are those of all items, whatever the blocks
     none = decontaminate.contaminated(make_docs(texts[:3]), table.limit(0)).collect()
     assert len(none) == 3 and not any(r.contaminated for r in none)
     assert decontaminate.contaminated(make_docs([]), table).count() == 0
@@ -46,7 +49,11 @@ def test_search_finds_all_above_the_ratio():
     limits = decontaminate.Limits(ratio=0.3, block=3)
     vocabulary = words(rng, 60)
     parts = [p for k in range(80) for p in decontaminate.parts_of(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 20))), limits)]
-    index = decontaminate.Index(parts, limits)
+    df = {}
+    for p in parts:
+        for t in set(p.words.tolist()):
+            df[t] = df.get(t, 0) + 1
+    index = decontaminate.Index(parts, limits, decontaminate.Statistics(len(parts), sum(len(p.words) for p in parts) / len(parts), df))
     for _ in range(60):
         raw = np.frombuffer(" ".join(rng.choices(vocabulary, k=25)).encode(), np.uint8)
         w, first = decontaminate.words(raw, np.array([0, len(raw)]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_text, prefix_hash, runs, span_hash
+from .common import LOWER, map_text, prefix_hash, runs, span_hash, stored
 
 BASE = 0xC2B2AE3D27D4EB4F
 IS_WORD = np.zeros(256, bool)
@@ -64,18 +64,41 @@ def parts_of(item: int, text: str, limits: Limits) -> list[Part]:
     return [Part(item, w[k : k + half], min(max(0, question - k), half)) for k in starts]
 
 
+@dataclass
+class Statistics:
+    """Parts of the whole benchmark, their mean length in words, and in how many parts each word of an index stands."""
+
+    parts: int
+    mean: float
+    df: dict[int, int]
+
+
+def part_words(items: DataFrame, limits: Limits) -> DataFrame:
+    """A row (NULL, length) for each part of the items, and a row (word, NULL) for each distinct word of a part."""
+
+    def step(rows, data, offsets):
+        word, length = [], []
+        for item, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            for p in parts_of(item, text, limits):
+                own = np.unique(p.words).view(np.int64).tolist()
+                word += [None, *own]
+                length += [len(p.words), *[None] * len(own)]
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(length, pa.int64())], ["word", "length"])
+
+    return map_text(items, step, "word long, length long", max_bytes=500_000)
+
+
 class Index:
-    """Postings (part, impact) by word, in blocks with their largest impact; impacts are shares of the part's own score."""
+    """Postings (part, impact) by word, in blocks with their largest impact; impacts are shares of the part's own score.
+
+    ``statistics``: those of the whole benchmark, of which ``parts`` may be a block.
+    """
 
-    def __init__(self, parts: list[Part], limits: Limits):
+    def __init__(self, parts: list[Part], limits: Limits, statistics: Statistics):
         self.parts, self.limits = parts, limits
-        df: dict[int, int] = {}
-        for p in parts:
-            for t in set(p.words.tolist()):
-                df[t] = df.get(t, 0) + 1
-        n, mean = len(parts), sum(len(p.words) for p in parts) / max(1, len(parts))
+        n, mean, df = statistics.parts, statistics.mean, statistics.df
         self.postings: dict[int, list[tuple[int, float]]] = {}
-        essential, self.spare = [], np.zeros(n)
+        essential, self.spare = [], np.zeros(len(parts))
         for k, p in enumerate(parts):
             terms, tf = np.unique(p.words, return_counts=True)
             own = {}
@@ -224,17 +247,29 @@ def matches(docs: DataFrame, items: DataFrame, limits: Limits | None = None, blo
     Each passage is a query: its words bound the score of every part from above, and passages that can reach the ratio
     search the index; what is found must share the shingles of question and answer.  The items are indexed and
     broadcast in blocks of about ``block_items``, each passing over all texts, so a large benchmark needs more passes,
-    not more memory.  BM25 statistics are those of a block.
+    not more memory.  BM25 statistics are counted over all items first, so blocks change neither scores nor finds.
     """
     limits = limits or Limits()
     spark = docs.sparkSession
     fine = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     blocks = max(1, math.ceil(fine.count() / block_items))
+    listed = stored(part_words(fine, limits), "benchmark-words")
+    count, total = listed.filter("word is null").agg(F.count("*"), F.sum("length")).first()
+    frequency = listed.filter("word is not null").groupBy("word").agg(F.count("*").alias("df"))
+    if blocks > 1:
+        frequency = stored(frequency, "benchmark-df")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for block in range(blocks):
-        rows = fine.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = Index([p for r in rows for p in parts_of(r["item_id"], r["text"], limits)], limits)
+        own = fine.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        rows = own.orderBy("item_id", "text").collect()
+        if blocks > 1:
+            known = frequency.join(part_words(own, limits).select("word").distinct(), "word").select("word", "df").toArrow()
+        else:
+            known = frequency.select("word", "df").toArrow()
+        df = dict(zip(known["word"].to_numpy().view(np.uint64).tolist(), known["df"].to_pylist()))
+        parts = [p for r in rows for p in parts_of(r["item_id"], r["text"], limits)]
+        index = Index(parts, limits, Statistics(count, (total or 0) / max(1, count), df))
         shared = spark.sparkContext.broadcast(index)
 
         def step(batch, data, offsets, shared=shared):
