@@ -132,6 +132,28 @@ def test_rate_limit_equals_the_sequential_rule(spark, batch_rows):
     assert set(expected.values()) == {"accepted", "vehicle_limit", "hourly_limit"}
 
 
+@pytest.mark.parametrize("per_task, windows", [(40, (20, 3600, 120)), (25, (3, 2000, 500))])
+def test_a_hot_reporter_is_judged_in_bounded_parts(spark, monkeypatch, per_task, windows):
+    rng = random.Random(12)
+    data = []
+    for rid in range(260):
+        who = "hot" if rid % 3 else rng.choice("abcd")
+        at = rng.choice([rng.randrange(0, 9_000), rng.randrange(4_000, 4_030)])
+        data.append((rid, who, rng.choice([None, *(f"v{k}" for k in range(60))]), at, rng.random() > 0.1))
+    df = spark.createDataFrame(data, "report_id bigint, reporter_id string, vehicle_id string, s bigint, counts boolean").withColumn("reported_at", F.timestamp_seconds("s"))
+    sizes, judged = [], rep._judged
+
+    def watched(rows, rule):
+        found = rows.groupBy("reporter_id", "segment").agg(F.count_if(F.col("accepted").isNull()).alias("n")).agg(F.max("n")).first()[0]
+        sizes.append(found or 0)
+        return judged(rows, rule)
+
+    monkeypatch.setattr(rep, "_judged", watched)
+    found = rep.rate_limit(df, *windows, per_task=per_task).collect()
+    assert {r["report_id"]: r["verdict"] for r in found} == brute_force(data, *windows) and len(found) == len(data)
+    assert len(sizes) > 3 and max(sizes) <= 2 * per_task + 15  # seconds are whole here: many reports of one instant
+
+
 def test_rate_limit_with_a_vehicle_window_beyond_the_other(spark):
     data = [(k, "a", f"v{k % 3}", 700 * k, True) for k in range(40)] + [(100 + k, "b", "v", 0, True) for k in range(300)]
     df = spark.createDataFrame(data, "report_id bigint, reporter_id string, vehicle_id string, s bigint, counts boolean")

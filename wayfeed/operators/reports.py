@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.clock import instant, seconds
 from ..functions.status import ON_TIME_EARLY_S, ON_TIME_LATE_S, age_fraction_s, on_time, squash
 from ..schemas import NOTE_MAX, REPORT_CATEGORIES
+from ..sources.paths import shared_dir
 from .ordered import with_last_known
 
 # Limits and the texts a rider sees.
@@ -116,24 +117,51 @@ _VERDICTS = T.StructType(
 NO_REPORTER_MESSAGE = "A report needs a reporter and a time."
 
 
+_STATE = T.StructType(
+    [
+        T.StructField("segment", T.LongType()),
+        T.StructField("accepted", T.ArrayType(T.LongType())),
+        T.StructField("vehicles", T.ArrayType(T.StringType())),
+        T.StructField("last_us", T.ArrayType(T.LongType())),
+    ]
+)
+_JUDGED = T.StructType([*_VERDICTS.fields, *_STATE.fields])
+
+
 def _judge_in_order(limit: int, window_s: float, vehicle_s: float):
     """Sequential rule over rows in order of (reporter, segment, time, id).
 
     What it keeps is one segment's accepted reports of the last window and its
     last accepted report per vehicle, so memory does not grow with a segment.
+    A row with ``accepted`` set, before a segment's reports, is the state it
+    begins with; behind each segment comes such a row with the state it ends with.
     """
     hour_us, vehicle_us = int(window_s * 1_000_000), int(vehicle_s * 1_000_000)
+    columns = [f.name for f in _JUDGED]
+
+    def ending(segment, now, accepted, by_vehicle) -> pd.DataFrame:
+        kept = [t for t in accepted if t > now - hour_us]
+        live = {v: t for v, t in by_vehicle.items() if t > now - vehicle_us}
+        row = dict.fromkeys(columns) | {"reporter_id": segment[0], "segment": segment[1], "accepted": kept, "vehicles": list(live), "last_us": list(live.values())}
+        return pd.DataFrame([row]).astype({"report_id": "Int64", "reported_at": "datetime64[us, UTC]"})
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment, accepted, by_vehicle = None, deque(), {}
+        segment, now, accepted, by_vehicle = None, 0, deque(), {}
         for rows in batches:
-            at = rows["reported_at"].astype("datetime64[us]").astype("int64")
-            verdicts = []
-            for own, now, vehicle, counts in zip(
-                zip(rows["reporter_id"], rows["segment"]), at, rows["vehicle_id"], rows["counts"]
+            at = rows["at_us"]
+            verdicts, ended = [], []
+            for own, t, vehicle, counts, state in zip(
+                zip(rows["reporter_id"], rows["segment"]), at, rows["vehicle_id"], rows["counts"], zip(rows["accepted"], rows["vehicles"], rows["last_us"])
             ):
                 if own != segment:
+                    if segment is not None:
+                        ended.append(ending(segment, now, accepted, by_vehicle))
                     segment, accepted, by_vehicle = own, deque(), {}
+                if state[0] is not None:
+                    accepted, by_vehicle = deque(int(x) for x in state[0]), dict(zip(state[1], (int(x) for x in state[2])))
+                    verdicts.append(None)
+                    continue
+                now = t
                 while accepted and accepted[0] <= now - hour_us:
                     accepted.popleft()
                 before = by_vehicle.get(vehicle)
@@ -147,13 +175,51 @@ def _judge_in_order(limit: int, window_s: float, vehicle_s: float):
                         accepted.append(now)
                         by_vehicle[vehicle] = now
                         if len(by_vehicle) > 2 * limit + 1000:
-                            by_vehicle = {v: t for v, t in by_vehicle.items() if t > now - vehicle_us}
+                            by_vehicle = {v: x for v, x in by_vehicle.items() if x > now - vehicle_us}
                 verdicts.append(verdict)
-            yield rows.assign(verdict=verdicts)[[f.name for f in _VERDICTS]]
+            judged = rows.assign(verdict=verdicts, accepted=None, vehicles=None, last_us=None)[columns]
+            yield judged[judged["verdict"].notna()]
+            yield from ended
+        if segment is not None:
+            yield ending(segment, now, accepted, by_vehicle)
 
     return judge
 
 
+def _judged(rows: DataFrame, rule) -> DataFrame:
+    """Rows judged in order, each reporter's segment by one task."""
+    own = ["reporter_id", "segment"]
+    ready = rows.withColumn("at_us", F.coalesce(F.unix_micros("reported_at"), F.lit(0)))
+    ordered = ready.repartition(*own).sortWithinPartitions(*own, F.col("accepted").isNull(), "reported_at", "report_id")
+    return ordered.mapInPandas(rule, _JUDGED)
+
+
+def _in_rounds(rows: DataFrame, rule, out: list[str]) -> DataFrame:
+    """Verdicts of segments cut into parts: a round judges the next part of every segment, from the state the last one left.
+
+    ``rows`` have ``chunk``; parts are numbered per segment.  Rows, verdicts and states of a round are tables in the
+    shared folder.  There are as many rounds as the longest segment has parts.
+    """
+    spark, own = rows.sparkSession, ["reporter_id", "segment"]
+    path = shared_dir(spark, "rate-limit")
+    parts = rows.select(*own, "chunk").distinct()
+    numbered = parts.withColumn("part", F.row_number().over(Window.partitionBy(*own).orderBy("chunk")) - 1)
+    rows.join(numbered, [*own, "chunk"]).drop("chunk").write.partitionBy("part").parquet(f"{path}/rows")
+    todo = spark.read.schema(T.StructType([*[f for f in rows.schema.fields if f.name != "chunk"], T.StructField("part", T.IntegerType())])).parquet(f"{path}/rows")
+    last = todo.agg(F.max("part")).first()[0]
+    state = None
+    for part in range(0 if last is None else last + 1):
+        now = todo.where(F.col("part") == part).drop("part")
+        if state is not None:
+            now = now.unionByName(state.join(now.select(*own).distinct(), own, "left_semi"), allowMissingColumns=True)
+        _judged(now, rule).write.parquet(f"{path}/judged/part={part}")
+        done = spark.read.schema(_JUDGED).parquet(f"{path}/judged/part={part}")
+        state = done.where("accepted is not null").select("reporter_id", *[f.name for f in _STATE])
+    if last is None:
+        return spark.createDataFrame([], _VERDICTS)
+    return spark.read.schema(T.StructType([*_JUDGED.fields, T.StructField("part", T.IntegerType())])).parquet(f"{path}/judged").where("verdict is not null").select(out)
+
+
 def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int) -> DataFrame:
     """Per reporter and time slot: its segment, and whether a limit can bite in it.
 
@@ -180,7 +246,11 @@ def _timeline(rows: DataFrame, limit: int, window_s: int, vehicle_s: int) -> Dat
         .withColumn("segment", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
     )
     whole = Window.partitionBy("reporter_id", "segment")
-    return segments.select("reporter_id", "slot", "segment", F.max("risky").over(whole).alias("risky"))
+    earlier = whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    return segments.select(
+        "reporter_id", "slot", "segment", F.max("risky").over(whole).alias("risky"),
+        F.col("n").alias("in_slot"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("in_segment"),
+    )
 
 
 def rate_limit(
@@ -188,6 +258,7 @@ def rate_limit(
     limit: int = PER_HOUR_LIMIT,
     window_s: int = LIMIT_WINDOW_S,
     vehicle_window_s: int = SAME_VEHICLE_WINDOW_S,
+    per_task: int = 500_000,
 ) -> DataFrame:
     """Verdict per report: accepted, vehicle_limit or hourly_limit; rejected reports do not count.
 
@@ -196,7 +267,11 @@ def rate_limit(
     reports prove it: those segments are accepted in plain columns.  Only
     segments where a limit can bite are judged in order: Spark sorts them (and
     spills), and a task streams over them with the state of one segment.  A
-    reporter's segment is one sequence, so it is not parallel within itself.
+    segment of more than ``per_task`` reports is cut in time into parts of about
+    that many (twice at most, but for reports of one millisecond) and judged in
+    rounds: each part begins with what the part before left, at most ``limit`` accepted
+    reports and the vehicles among them.  So no task gets more than a part,
+    whatever share of the rows one reporter has; the rounds follow each other.
 
     A report without reporter or time is ``unknown`` and takes no part.  An
     optional boolean column ``counts`` marks reports that are judged but never
@@ -210,14 +285,22 @@ def rate_limit(
     placed = known.join(_timeline(known, limit, window_s, vehicle_window_s), ["reporter_id", "slot"])
     out = [f.name for f in _VERDICTS]
     clear = placed.where(~F.col("risky")).withColumn("verdict", F.lit("accepted")).select(out)
-    order = ["reporter_id", "segment"]
-    judged = (
-        placed.where("risky")
-        .select(*order, "report_id", "vehicle_id", "reported_at", "counts")
-        .repartition(*order)
-        .sortWithinPartitions(*order, "reported_at", "report_id")
-        .mapInPandas(_judge_in_order(limit, window_s, vehicle_window_s), _VERDICTS)
+    rule = _judge_in_order(limit, window_s, vehicle_window_s)
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in _STATE.fields if f.name != "segment"]
+    risky = placed.where("risky").select(
+        "reporter_id", "segment", "report_id", "vehicle_id", "reported_at", "counts", "in_slot", "before", "in_segment", "slot", *empty
     )
+    base = ["reporter_id", "segment", "report_id", "vehicle_id", "reported_at", "counts", *[f.name for f in _STATE.fields if f.name != "segment"]]
+    judged = _judged(risky.where(F.col("in_segment") <= per_task).select(base), rule).where("verdict is not null").select(out)
+    # Slots of a part follow each other; a slot that is a part and more is cut where its counts by millisecond say so.
+    placed_ms = risky.where(F.col("in_segment") > per_task).withColumn("ms", F.floor((F.unix_micros("reported_at") - F.col("slot") * slot_us) / 1000))
+    counts = placed_ms.where(F.col("in_slot") > per_task).groupBy("reporter_id", "slot", "ms").count()
+    sooner = Window.partitionBy("reporter_id", "slot").orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = counts.select("reporter_id", "slot", "ms", F.floor(F.coalesce(F.sum("count").over(sooner), F.lit(0)) / per_task).alias("piece"))
+    chunk = F.struct(F.floor(F.col("before") / per_task).alias("part"), F.coalesce("piece", F.lit(0)).alias("piece"))
+    long = placed_ms.join(pieces, ["reporter_id", "slot", "ms"], "left").select(*base, chunk.alias("chunk"))
+    if known.groupBy("reporter_id").count().where(F.col("count") > per_task).limit(1).count():
+        judged = judged.unionByName(_in_rounds(long, rule, out))
     unknown = rows.where(~whole).withColumn("verdict", F.lit("unknown")).select(out)
     verdict = F.col("verdict")
     message = (
