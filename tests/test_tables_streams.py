@@ -242,3 +242,28 @@ def test_the_chain_with_late_rows_and_a_reference_folder(spark, tmp_path):
     lost = rows(silver.where("array_contains(failed_rules, 'behind_watermark')"))
     assert ("40/91", "rejected") in {(r["vehicle_id"], r["stream"]) for r in lost}
     assert spark.read.parquet(at["departures"]).count() == first and first > 0
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    from wayfeed.streaming import buckets as bk
+
+    path = str(tmp_path / "current")
+    step = bk.merge_buckets(path, ["k"], "s", buckets=8, keep=2)
+    table = lambda values: spark.createDataFrame(values, "k string, s int, v string")
+    assert bk.read_buckets(spark, path) is None and bk.read_changes(spark, path) is None
+    states, first = [], table([(f"k{i}", 5, "a") for i in range(60)])
+    batches = [first, table([("k7", 6, "b"), ("k7", 4, "old")]), table([("k7", 1, "older"), ("new", 1, "n")]), table([]), table([("k8", 9, "z")])]
+    for k, batch in enumerate(batches):
+        before = bk.read_buckets(spark, path) or table([])
+        step(batch, k)
+        after = bk.read_buckets(spark, path)
+        want = f.latest_by_key(before.unionByName(batch), ["k"], "s")
+        assert rows(after, "k") == rows(want, "k")
+        changed = bk.read_changes(spark, path).where(F.col("version") == k).drop("version")
+        assert rows(changed, "k", "_change_type") == rows(f.snapshot_diff(spark.createDataFrame(states[-1] if states else [], batch.schema), after, ["k"]), "k", "_change_type")
+        states.append(after.collect())
+    assert len(paths.children(spark, f"{path}/data/__version=4")) == 2  # one bucket and the marker of success
+    assert len(paths.children(spark, f"{path}/data/__version=0")) < 10 and len(paths.children(spark, f"{path}/manifest")) == 2
+    step(batches[4], 4)  # a repeated batch gives the same state and changes
+    assert rows(bk.read_buckets(spark, path), "k") == sorted([r.asDict() for r in states[-1]], key=lambda r: (r["k"] is not None, r["k"]))
+    assert bk.read_changes(spark, path).where("version = 4").count() == 2

@@ -12,12 +12,12 @@ from ..operators import events as ev
 from ..schemas import ENVELOPE
 from ..sources import feed, recording, tables
 from ..sources.paths import shared_dir
-from ..streaming import late
+from ..streaming import buckets, late
 from ..streaming import medallion as m
 from .departures import SQL_ENRICHED
 from .feed import _ROUTED
 from .registry import query
-from .views import SQL_PARSED, heartbeat_rows, load, messages, routes_of_regions, stops_of_nations
+from .views import SQL_PARSED, SQL_POSITIONS, heartbeat_rows, load, messages, positions, routes_of_regions, stops_of_nations
 
 
 def _as_stream(spark, df, name):
@@ -185,3 +185,25 @@ def departures_refreshed(spark, sf_dir):
         stream = spark.readStream.schema(events.schema).parquet(f"{base}/stop-events")
         m.write_departures_refreshed(stream, f"{base}/reference", f"{base}/departures", f"{base}/mark").awaitTermination()
     return spark.read.parquet(f"{base}/departures").drop("batch").withColumn("operating_day", F.col("operating_day").cast("date"))
+
+
+@query(
+    "current_changes_stream",
+    f"""WITH {SQL_POSITIONS}, half AS (SELECT {_HALF} AS middle),
+b AS (SELECT positions.* FROM positions, half WHERE last_seen_at <= middle QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY last_seen_at DESC) = 1),
+a AS (SELECT * FROM positions QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY last_seen_at DESC) = 1)
+SELECT b.*, 'insert' AS _change_type, 0 AS version FROM b
+UNION ALL SELECT a.*, 'insert', 1 FROM a WHERE vehicle_id NOT IN (SELECT vehicle_id FROM b)
+UNION ALL SELECT b.*, 'update_preimage', 1 FROM b JOIN a USING (vehicle_id) WHERE b.last_seen_at <> a.last_seen_at
+UNION ALL SELECT a.*, 'update_postimage', 1 FROM b JOIN a USING (vehicle_id) WHERE b.last_seen_at <> a.last_seen_at""",
+)
+def current_changes_stream(spark, sf_dir):
+    """The change feed of the current state, streamed in two batches; the second also brings older positions again."""
+    base = shared_dir(spark, "current")
+    p = positions(spark, sf_dir).withColumnRenamed("last_seen_at", "tst")
+    half = load(spark, sf_dir, "events").agg(F.expr("timestamp_micros((min(unix_micros(ts)) + max(unix_micros(ts))) div 2)")).scalar()
+    for part in (p.where(F.col("tst") <= half), p):
+        part.write.mode("append").parquet(f"{base}/positions")
+        stream = spark.readStream.schema(p.schema).parquet(f"{base}/positions")
+        m.write_current(stream, f"{base}/current", f"{base}/mark", buckets=16).awaitTermination()
+    return buckets.read_changes(spark, f"{base}/current")

@@ -32,6 +32,7 @@ from ..sources.feed import heartbeat_ledger, read_bronze, read_feed, with_envelo
 from ..sources.paths import children
 from ..sources.paths import read_text, write_text
 from ..sources.tables import drop_old_versions, read_reference, read_version, reference_versions, versions, write_version
+from .buckets import merge_buckets, read_buckets
 from .late import COPY, LATE, tag_copies_and_late
 from .listeners import read_live_heartbeats
 
@@ -217,13 +218,14 @@ def merge_latest(path: str, keys: list[str], seq: str, keep: int = 3) -> Callabl
     return step
 
 
-def write_current(positions: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """Latest Position Event per vehicle; late events never replace newer ones."""
-    writer = (
-        current_columns(positions)
-        .writeStream.foreachBatch(merge_latest(path, ["vehicle_id"], "last_seen_at"))
-        .option("checkpointLocation", checkpoint)
-    )
+def write_current(positions: DataFrame, path: str, checkpoint: str, trigger: str | None = None, buckets: int | None = None) -> StreamingQuery:
+    """Latest Position Event per vehicle; late events never replace newer ones.
+
+    With ``buckets`` a batch rewrites only the hash buckets of its vehicles and writes their change rows
+    (``buckets.read_changes``); without, each batch writes a snapshot of the whole fleet.
+    """
+    step = merge_buckets(path, ["vehicle_id"], "last_seen_at", buckets) if buckets else merge_latest(path, ["vehicle_id"], "last_seen_at")
+    writer = current_columns(positions).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return run(writer, trigger)
 
 
@@ -288,7 +290,9 @@ def replay(
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_version(spark, path)
+    """The current state, in either layout; None while there is none."""
+    found = read_buckets(spark, path)
+    return read_version(spark, path) if found is None else found
 
 
 def coverage_of(spark: SparkSession, heartbeats_path: str, as_of=None, **options) -> DataFrame:
