@@ -10,9 +10,14 @@ from wayfeed.llm.common import stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on their labels outside the held-out fold, does not reject."""
+    """Documents that the quality classifier, trained on their labels outside the held-out fold, does not reject.
+
+    Columns of the documents that are named like the classifier's own stay as they are.
+    """
     weights = quality.train(quality.training_rows(docs, table(spark, sf_dir, "labels")))
-    return quality.score(docs, weights).filter("predicted = 1").select(*docs.columns)
+    aside = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")}
+    kept = quality.score(docs.withColumnsRenamed(aside), weights).filter("predicted = 1").drop("score", "predicted")
+    return kept.withColumnsRenamed({held: c for c, held in aside.items()}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
