@@ -3,6 +3,7 @@ from test_advice import NOW as TRIP_NOW
 from test_advice import answers, stops  # noqa: F401
 from test_coverage_headway import beats, departures
 from test_fleet_reports import NOW, vehicles
+from pyspark.sql import functions as F
 
 from wayfeed.functions import table_functions as tf
 
@@ -40,3 +41,23 @@ def test_trip_functions(spark, answers):  # noqa: F811
     assert {r["option"] for r in rows(spark.sql("SELECT * FROM trip_options(1)"))} == {"tram", "walk", "bike"}
     advice = rows(spark.sql("SELECT * FROM bike_walk_or_wait('harbour', 'square')"))
     assert advice[0]["choice"] == "bike" and advice[0]["feed_live"]
+
+
+def test_tram_bunching_for_any_window(spark, tmp_path):
+    dep = departures(
+        spark,
+        [("v0", "14:10:00", "14:10:00", 0), ("v0", "14:20:00", "14:20:00", 0), ("v1", "15:40:00", "15:40:00", 0), ("v1", "15:50:00", "15:50:00", 0), ("v2", "15:58:00", "16:00:00", 0), ("v3", "15:58:40", "16:10:00", 0), ("v4", "15:59:00", None, None)],
+    )
+    path = str(tmp_path / "departures")
+    dep.withColumn("operating_day", F.to_date("departed_at")).write.partitionBy("operating_day").parquet(path)
+    held = spark.read.parquet(path)
+    tf.register_tram_bunching(spark, held)
+    for since, until, share in (("14:00:00", "17:00:00", None), ("15:45:00", "15:59:00", 0.9), ("15:58:30", "16:00:00", 0.01)):
+        ends = [f"timestamp'2026-10-03 {t}'" for t in (since, until)]
+        call = f"SELECT * FROM tram_bunching({', '.join(ends + ([str(share)] if share else []))})"
+        want = tf.tram_bunching(spark, held, f"2026-10-03 {since}", f"2026-10-03 {until}", share)
+        assert rows(spark.sql(call), "follower_departed_at") == rows(want, "follower_departed_at")
+    assert len(rows(spark.sql(call))) > 0
+    plan = spark.sql(call)._jdf.queryExecution().executedPlan().toString()
+    assert "operating_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert plan.index("Exchange hashpartitioning") < plan.rindex("Filter ") and "PushedFilters: [IsNotNull(departed_at), GreaterThanOrEqual(departed_at,2026-10-03 14:58:30.0)" in plan

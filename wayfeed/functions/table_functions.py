@@ -82,10 +82,51 @@ def register_vehicle_functions(
 
 
 def tram_bunching(spark: SparkSession, departures: DataFrame, since, until, max_share: float | None = None) -> DataFrame:
-    """Pairs of a window.  A DataFrame function only: its window must be cut before its ordered operators run."""
+    """Pairs of a window, by the operator that splits busy stops over tasks; ``register_tram_bunching`` is its SQL twin."""
     return headway.bunching_pairs(departures, since, until, max_share)
 
 
+def register_tram_bunching(spark: SparkSession, departures: DataFrame) -> None:
+    """``tram_bunching(since, until[, max_share])``: rows of ``headway.bunching_pairs`` for any window.
+
+    The function's arguments cut the departures, by day and by instant, below everything that is ordered, so a call reads
+    and shuffles its window and an hour before it.  Meant for a viewer's window of hours or days, in which a stop's departures fit
+    a task; for long spans use the operator.
+    """
+    use_utc(spark)
+    result = headway.bunching_pairs(departures, "2000-01-01 00:00:00", "2000-01-02 00:00:00")
+    own = ["stop_name", "stop_lat", "stop_long", "vehicle_id", "journey_id", "departed_at", "scheduled_departure", "lateness_s"]
+    place = ", ".join(headway.PLACE)
+    view = departures.select(*headway.PLACE, *own, *[c for c in departures.columns if c == "operating_day"])
+    view.createOrReplaceTempView("wayfeed_departures")
+    days = "AND operating_day BETWEEN to_date(tram_bunching.since) - INTERVAL 2 DAYS AND to_date(tram_bunching.until) + INTERVAL 1 DAY" if "operating_day" in view.columns else ""
+    tie = "departed_at, vehicle_id, journey_id"
+    window_rows = f"""
+        SELECT {place}, {", ".join(own)},
+               lag(vehicle_id) OVER run AS leader_vehicle_id, lag(journey_id) OVER run AS leader_journey_id,
+               lag(departed_at) OVER run AS leader_departed_at, lag(lateness_s) OVER run AS leader_lateness_s,
+               (unix_micros(scheduled_departure) - unix_micros(lag(scheduled_departure) OVER plan)) DIV 1000000 AS gap_s
+        FROM wayfeed_departures
+        WHERE departed_at >= tram_bunching.since - INTERVAL {headway.LOOK_BACK_S} SECONDS AND departed_at < tram_bunching.until {days}
+        WINDOW run AS (PARTITION BY {place} ORDER BY {tie}),
+               plan AS (PARTITION BY {place}, scheduled_departure IS NULL ORDER BY scheduled_departure, {tie})"""
+    planned = f"""
+        SELECT *, CAST(percentile_approx(CASE WHEN gap_s BETWEEN 1 AND {headway.MAX_PLANNED_GAP_S} THEN gap_s END, 0.5)
+                       OVER (PARTITION BY {place}, date_trunc('HOUR', scheduled_departure)) AS INT) AS planned_s,
+               CAST((unix_micros(departed_at) - unix_micros(leader_departed_at)) DIV 1000000 AS INT) AS headway_s
+        FROM ({window_rows})"""
+    columns = ", ".join(f"`{c}` {t}" for c, t in result.dtypes)
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION tram_bunching(since TIMESTAMP, until TIMESTAMP, max_share DOUBLE DEFAULT {headway.BUNCHING_SHARE})
+        RETURNS TABLE ({columns})
+        RETURN SELECT {place}, stop_name, stop_lat, stop_long, leader_vehicle_id, vehicle_id, leader_departed_at, departed_at, headway_s,
+            nullif(planned_s, 0), leader_lateness_s, lateness_s,
+            coalesce(planned_s > 0 AND headway_s < coalesce(tram_bunching.max_share, {headway.BUNCHING_SHARE}) * planned_s, false)
+        FROM ({planned})
+        WHERE leader_vehicle_id <> vehicle_id AND leader_journey_id <> journey_id AND departed_at >= tram_bunching.since"""
+    )
+
+
 def register_trip_functions(
     spark: SparkSession,
     requests: DataFrame,
