@@ -71,6 +71,12 @@ def test_bounds_never_lose_a_pair():
     assert {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.98))} <= set(zip(i.tolist(), j.tolist()))
 
 
+def test_double_components_are_not_rounded(spark):
+    rows = [(1, [1e39, 0.0], 1), (2, [1e39, 0.0], 1), (3, [1.0, 1e-12], 1), (4, [0.0, 1e-60], 1), (5, [0.0, 2e-60], 1)]
+    got = embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_shards(spark, make_docs, odd_texts, clashing):
     rng = random.Random(9)
     texts = odd_texts + [" ".join(words(rng, rng.randint(1, 60))) for _ in range(900)] + ["the same text again and again"] * 500

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import components, local_roots, stored
 
@@ -57,7 +58,7 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
 
-def tiles_of(vectors: DataFrame, axes: dict[int, np.ndarray], rows_per_tile: int, leading: int) -> DataFrame:
+def tiles_of(vectors: DataFrame, axes: dict[int, np.ndarray], rows_per_tile: int, leading: int, real: type = np.float32) -> DataFrame:
     """Tiles of one label: neighbours along the first axis, with the box of their leading coordinates."""
 
     def run(batches):
@@ -67,7 +68,7 @@ def tiles_of(vectors: DataFrame, axes: dict[int, np.ndarray], rows_per_tile: int
         def tile(key, rows):
             nonlocal seq
             seq += 1
-            raw = np.array([r[1] for r in rows], np.float32)
+            raw = np.array([r[1] for r in rows], real)
             x = raw.astype(np.float64)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = x @ axes[key[1]] if key[1] in axes else x
@@ -112,14 +113,18 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, rows_per_tile:
     NULL or non-finite component, and rows with a NULL id, link with nothing.  Equal vectors are one class with a number
     of copies, so a very common vector costs as much as one.  Tiles whose boxes are further apart than the threshold
     allows are not compared.  A tile pair gives each vector's number of links and one link to its local group; pairs
-    of vectors are never listed.
+    of vectors are never listed.  Components may be floats or doubles and are not rounded.  Rows of one vec_id are one node:
+    its component holds what any of them reaches; an empty table gives an empty result.
     """
     v = F.col("embedding")
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select("vec_id", v.cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label")).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    # Components are compared as they are given: in 32 bits if the column has them so, else as doubles.
+    kind, real = ("float", np.float32) if isinstance(element, FloatType) else ("double", np.float64)
+    rows = vectors.select("vec_id", v.cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("int").alias("label")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     classes = stored(rows.filter("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "vectors")
     axes = principal_axes(classes, sample)
-    tiles = stored(tiles_of(classes, axes, rows_per_tile, leading), "tiles")
+    tiles = stored(tiles_of(classes, axes, rows_per_tile, leading, real), "tiles")
     side = lambda s: tiles.select("label", "dim", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high")])
     gap = F.aggregate(
         F.arrays_zip("low_a", "high_a", "low_b", "high_b"), F.lit(0.0),
@@ -139,7 +144,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, rows_per_tile:
                 i, j = close_pairs(x, y, threshold)
                 if r["tile_a"] == r["tile_b"]:
                     i, j = i[i < j], j[i < j]
-                raw_a, raw_b = (np.frombuffer(r[f"raw_{s}"], np.float32).reshape(-1, dim).astype(np.float64) for s in "ab")
+                raw_a, raw_b = (np.frombuffer(r[f"raw_{s}"], real).reshape(-1, dim).astype(np.float64) for s in "ab")
                 keep = np.zeros(len(i), bool)
                 for k in range(0, len(i), 65_536):
                     keep[k : k + 65_536] = cosines(raw_a[i[k : k + 65_536]], raw_b[j[k : k + 65_536]]) >= threshold

@@ -100,8 +100,8 @@ ORACLES = {
         WITH RECURSIVE fine AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
             WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+              AND list_count(embedding) = len(embedding) AND len([x FOR x IN embedding IF NOT isfinite(x)]) = 0
+              AND len([x FOR x IN embedding IF x <> 0]) > 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
             WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
