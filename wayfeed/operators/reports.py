@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clock import instant, seconds
+from ..functions.clock import instant, on_days, seconds
 from ..functions.status import ON_TIME_EARLY_S, ON_TIME_LATE_S, age_fraction_s, on_time, squash
 from ..schemas import NOTE_MAX, REPORT_CATEGORIES
 from ..sources.paths import shared_dir
@@ -53,14 +53,25 @@ def clean_reports(reports: DataFrame) -> DataFrame:
     ).drop("email")
 
 
-def snapshot_reports(reports: DataFrame, positions: DataFrame, span_s: int = 3600) -> DataFrame:
+def snapshot_reports(reports: DataFrame, positions: DataFrame, span_s: int = 3600, look_back_s: int | None = None) -> DataFrame:
     """Each report with what was measured for its vehicle at that moment (an as-of join).
 
     Reports and positions are interleaved in time per vehicle and the last
     position is carried forward; a busy vehicle is cut into time spans.
     ``positions`` are current-state rows (see ``current_columns``).  A report
     on a vehicle not seen before it gets ``rejected``.
+
+    With ``look_back_s`` a position more than that many whole seconds older than its report does not count, and
+    only positions of the reports' own time, and that much before it, are read (whole dates where there is an
+    ``event_date``).
     """
+    if look_back_s is not None:
+        when = F.unix_seconds("reported_at")
+        ends = reports.agg(F.min(when).alias("first"), F.max(when).alias("last"))
+        since = F.timestamp_seconds(ends.select("first").scalar() - F.lit(look_back_s))
+        until = F.timestamp_seconds(ends.select("last").scalar() + F.lit(1))
+        at = F.col("last_seen_at")
+        positions = on_days(positions.where((at >= since) & (at < until)), "event_date", since, until)
     report_columns = [c for c in reports.columns if c != "vehicle_id"]
     said = reports.select(
         "vehicle_id",
@@ -86,6 +97,9 @@ def snapshot_reports(reports: DataFrame, positions: DataFrame, span_s: int = 360
         span_s,
         tie=["is_report", "measured"],
     ).where("is_report = 1")
+    if look_back_s is not None:
+        age = F.unix_seconds("at") - F.unix_seconds("asof.last_seen_at")
+        carried = carried.withColumn("asof", F.when(age <= look_back_s, F.col("asof")))
     gone = F.when(F.col("asof").isNull(), F.lit(GONE_MESSAGE))
     rejected = F.coalesce(F.col("report.rejected"), gone) if "rejected" in reports.columns else gone
     keep = [F.col(f"report.{c}").alias(c) for c in report_columns if c != "rejected"]

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import coverage as cov
 from ..operators import events as ev
 from ..schemas import ENVELOPE
 from ..sources import feed, recording, tables
 from ..sources.paths import shared_dir
-from ..streaming import buckets, late
+from ..streaming import buckets, late, spans
 from ..streaming import medallion as m
+from .coverage import _MINUTES, SPACING_S
 from .departures import SQL_ENRICHED
 from .feed import _ROUTED
 from .registry import query
-from .views import SQL_PARSED, SQL_POSITIONS, heartbeat_rows, load, messages, positions, routes_of_regions, stops_of_nations
+from .reports import _ASOF, cleaned
+from .views import SQL_PARSED, SQL_POSITIONS, heartbeat_rows, heartbeats, load, messages, positions, routes_of_regions, stops_of_nations
 
 
 def _as_stream(spark, df, name):
@@ -207,3 +210,59 @@ def current_changes_stream(spark, sf_dir):
         stream = spark.readStream.schema(p.schema).parquet(f"{base}/positions")
         m.write_current(stream, f"{base}/current", f"{base}/mark", buckets=16).awaitTermination()
     return buckets.read_changes(spark, f"{base}/current")
+
+
+# ---------------------------------------------------------------- state cut by time
+
+_LOOK_BACK_S = 2 * 86_400
+
+
+def _middle(spark, sf_dir):
+    return load(spark, sf_dir, "events").agg(F.expr("timestamp_micros((min(unix_micros(ts)) + max(unix_micros(ts))) div 2)")).scalar()
+
+
+def _closing(df, key, at):
+    """One row of a key of its own, ten days after all others: it moves the watermark past them."""
+    end = df.agg(F.timestamp_micros(F.unix_micros(F.max(at)) + 10 * 86_400_000_000).alias(at))
+    return end.select(*[F.col(c) if c == at else F.lit("closing" if c == key else None).cast(t).alias(c) for c, t in df.dtypes])
+
+
+@query("coverage_stream", f"WITH {_MINUTES} SELECT * FROM coverage")
+def coverage_stream(spark, sf_dir):
+    """Coverage of each minute, from intervals that a stream emitted in two runs."""
+    base = shared_dir(spark, "covered")
+    hb = heartbeats(spark, sf_dir)
+    half = F.col("heartbeat_at") > _middle(spark, sf_dir)
+    for part in (hb.where(~half), hb.where(half).unionByName(_closing(hb, "session_id", "heartbeat_at"))):
+        part.write.mode("append").parquet(f"{base}/heartbeats")
+        stream = spark.readStream.schema(hb.schema).parquet(f"{base}/heartbeats")
+        options = {"delay": "1 minute", "max_spacing_s": SPACING_S, "span_s": 86_400}
+        spans.write_covered(stream, f"{base}/intervals", f"{base}/mark", **options).awaitTermination()
+    return cov.minutes_of(spark.read.parquet(f"{base}/intervals").where("NOT late"), hb)
+
+
+@query(
+    "report_asof_stream",
+    f"""WITH {_ASOF},
+near AS (SELECT *, coalesce(epoch_us(reported_at) // 1000000 - epoch_us(measured_last_seen_at) // 1000000 <= {_LOOK_BACK_S}, false) AS is_near FROM seen)
+SELECT report_id, reported_at, reporter_id, vehicle_id, category, note, CASE WHEN is_near THEN mode END AS mode, CASE WHEN is_near THEN route END AS route,
+  CASE WHEN is_near THEN direction END AS direction, CASE WHEN is_near THEN measured_lateness_s END AS measured_lateness_s,
+  CASE WHEN is_near THEN measured_last_seen_at END AS measured_last_seen_at, CASE WHEN is_near THEN lat END AS lat, CASE WHEN is_near THEN long END AS long,
+  coalesce(rejected, CASE WHEN NOT is_near THEN 'That vehicle is no longer on the map.' END) AS rejected, false AS late
+FROM near""",
+)
+def report_asof_stream(spark, sf_dir):
+    """Reports and positions as two streams, in two runs; a report waits for the positions of its time."""
+    base = shared_dir(spark, "asof")
+    middle = _middle(spark, sf_dir)
+    sources = {"reports": (cleaned(spark, sf_dir), "reported_at"), "positions": (positions(spark, sf_dir), "last_seen_at")}
+    for second in (False, True):
+        streams = {}
+        for name, (df, at) in sources.items():
+            part = df.where((F.col(at) > middle) == F.lit(second))
+            part = part.unionByName(_closing(df, "vehicle_id", at)) if second else part
+            part.write.mode("append").parquet(f"{base}/{name}")
+            streams[name] = spark.readStream.schema(df.schema).parquet(f"{base}/{name}")
+        options = {"delay": "1 minute", "look_back_s": _LOOK_BACK_S, "span_s": _LOOK_BACK_S}
+        spans.write_snapshots(streams["reports"], streams["positions"], f"{base}/matched", f"{base}/mark", **options).awaitTermination()
+    return spark.read.parquet(f"{base}/matched").where(~F.col("vehicle_id").eqNullSafe("closing")).drop("report_date")
