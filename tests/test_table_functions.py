@@ -6,6 +6,7 @@ from test_fleet_reports import NOW, vehicles
 from pyspark.sql import functions as F
 
 from wayfeed.functions import table_functions as tf
+from wayfeed.operators import advice
 
 
 def test_find_stop(spark):
@@ -39,8 +40,8 @@ def test_trip_functions(spark, answers):  # noqa: F811
     tf.register_trip_functions(spark, requests, stops(spark), answers, weather, beats(spark, [("a", TRIP_NOW, 1)]), current, TRIP_NOW)
     assert rows(spark.sql("SELECT * FROM weather_outlook('2')"))[0]["rain_probability_pct"] == 20.0
     assert {r["option"] for r in rows(spark.sql("SELECT * FROM trip_options(1)"))} == {"tram", "walk", "bike"}
-    advice = rows(spark.sql("SELECT * FROM bike_walk_or_wait('harbour', 'square')"))
-    assert advice[0]["choice"] == "bike" and advice[0]["feed_live"]
+    advised = rows(spark.sql("SELECT * FROM bike_walk_or_wait('harbour', 'square')"))
+    assert advised[0]["choice"] == "bike" and advised[0]["feed_live"]
 
 
 def test_tram_bunching_for_any_window(spark, tmp_path):
@@ -61,3 +62,17 @@ def test_tram_bunching_for_any_window(spark, tmp_path):
     plan = spark.sql(call)._jdf.queryExecution().executedPlan().toString()
     assert "operating_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert plan.index("Exchange hashpartitioning") < plan.rindex("Filter ") and "PushedFilters: [IsNotNull(departed_at), GreaterThanOrEqual(departed_at,2026-10-03 14:58:30.0)" in plan
+
+
+def test_parse_trip_options_of_any_body(spark, answers):  # noqa: F811
+    tf.register_parse_trip_options(spark)
+    good = answers.where("status = 200")
+    good.createOrReplaceTempView("stored_answers")
+    call = f"SELECT request_id, o.* FROM stored_answers, LATERAL parse_trip_options(body, timestamp'{TRIP_NOW}') o"
+    want = advice.parse_trip_plans(good, TRIP_NOW)
+    found = spark.sql(call)
+    assert found.dtypes == want.dtypes
+    assert rows(found, "request_id", "option") == rows(want, "request_id", "option") and len(rows(want)) == 7
+    body = good.where("request_id = 1").first()["body"].replace("'", "\\'")
+    now = rows(spark.sql(f"SELECT * FROM parse_trip_options('{body}')"), "option")
+    assert [r["option"] for r in now] == ["bike", "tram", "walk"] and now[0]["arrive_in_s"] != 840

@@ -170,3 +170,61 @@ def register_trip_functions(
         "wayfeed_advice",
         "WHERE asked_from = bike_walk_or_wait.start AND asked_to = bike_walk_or_wait.goal",
     )
+
+
+def register_parse_trip_options(spark: SparkSession) -> None:
+    """``parse_trip_options(body[, at])``: the rows of ``advice.parse_trip_plans`` for one planner answer.
+
+    ``at`` is the instant that ``arrive_in_s`` counts from, by default now.  The function reads no table, so it
+    takes any body, also one for each row of a table (``FROM answers, LATERAL parse_trip_options(body)``): Spark then parses each
+    different body once and joins the options back.  The operator parses in place and is the one for large tables.
+    """
+    use_utc(spark)
+    times = {
+        "leave_at": "try_to_timestamp({0}.start)",
+        "arrive_at": "try_to_timestamp({0}.end)",
+        "arrive_in_s": "timestampdiff(SECOND, coalesce(parse_trip_options.at, current_timestamp()), try_to_timestamp({0}.end))",
+    }
+    starts = "ride.trip.departureStoptime.scheduledDeparture"
+    planned, estimated = "try_to_timestamp(ride.start.scheduledTime)", "ride.start.estimated.time"
+    fields = {
+        "tram": {
+            "route": "ride.route.shortName",
+            "direction": "try_cast(ride.trip.directionId AS INT) + 1",
+            "operating_day": "ride.serviceDate",
+            "journey_start": f"format_string('%02d:%02d', CAST({starts} DIV 3600 AS BIGINT), CAST(pmod({starts}, 3600) DIV 60 AS BIGINT))",
+            "board_stop": "ride.from.name",
+            "scheduled_departure": planned,
+            "expected_departure": f"coalesce(try_to_timestamp({estimated}), {planned})",
+            "realtime": f"{estimated} IS NOT NULL",
+        },
+        "walk": {},
+        "bike": {
+            "bike_station": "cycle.from.vehicleRentalStation.name",
+            "bikes_available": "cycle.from.vehicleRentalStation.availableVehicles.total",
+            "dock_station": "cycle.to.vehicleRentalStation.name",
+            "docks_free": "cycle.to.vehicleRentalStation.availableSpaces.total",
+        },
+    }
+    fields["tram"]["journey_start"] = f"CASE WHEN {starts} IS NOT NULL THEN {fields['tram']['journey_start']} END"
+
+    def option(name: str, own: dict[str, str], present: str) -> str:
+        own = {"option": f"'{name}'", **own}
+        columns = ", ".join(f"'{c}', CAST({own.get(c, 'NULL')} AS {t})" for c, t in advice.OPTION_TYPES.items())
+        return f"CASE WHEN {present} THEN named_struct({columns}) END"
+
+    rows = [option(k, {c: t.format(k) for c, t in times.items()} | own, f"{k} IS NOT NULL") for k, own in fields.items()]
+    messages = "coalesce(array_join(transform(r.errors, e -> e.message), '; '), 'unreadable response')"
+    rows.append(option("error", {"error": messages}, "r.errors IS NOT NULL OR r.data IS NULL"))
+    riding = "get(filter(r.data.{0}.edges, e -> exists(e.node.legs, leg -> leg.mode = '{1}')), 0).node"
+    leg = "get(filter({0}.legs, leg -> leg.mode = '{1}'), 0)"
+    schema = " ".join(advice.PLAN_SCHEMA.split())
+    columns = ", ".join(f"`{c}` {t}" for c, t in advice.OPTION_TYPES.items())
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION parse_trip_options(body STRING, at TIMESTAMP DEFAULT NULL)
+        RETURNS TABLE ({columns})
+        RETURN SELECT inline(array_compact(array({", ".join(rows)})))
+        FROM (SELECT *, {leg.format("tram", "TRAM")} AS ride, {leg.format("bike", "BICYCLE")} AS cycle
+              FROM (SELECT r, {riding.format("tram", "TRAM")} AS tram, get(r.data.walk.edges, 0).node AS walk, {riding.format("bike", "BICYCLE")} AS bike
+                    FROM (SELECT from_json(parse_trip_options.body, '{schema}') AS r)))"""
+    )

@@ -135,7 +135,7 @@ def response_body(status: Column, text: Column, label: str = "planner HTTP") ->
     return F.when(status == 200, text).otherwise(errors)
 
 
-_OPTION_TYPES = {
+OPTION_TYPES = {
     "option": "string",
     "leave_at": "timestamp",
     "arrive_at": "timestamp",
@@ -160,7 +160,7 @@ def _option(name: str, fields: dict[str, Column]) -> Column:
     """One option row with all columns of the result, absent ones NULL."""
     fields = {"option": F.lit(name), **fields}
     return F.struct(
-        *[fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in _OPTION_TYPES.items()]
+        *[fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in OPTION_TYPES.items()]
     )
 
 
