@@ -92,3 +92,26 @@ def test_groups_are_sized_by_pieces(spark, make_docs):
     docs = make_docs(["x"] * 20).selectExpr("doc_id", "text", "cast(819200 as bigint) as total")
     got = packing.best_fit(docs, length=docs["total"], per_group=200).groupBy((packing.F.col("bin_id") / (1 << 32)).cast("int").alias("g")).count().collect()
     assert sum(r["count"] for r in got) == 4000 and len(got) == 20 and max(r["count"] for r in got) < 300
+
+
+def test_best_fit_against_plain_code():
+    """Each choice is checked by looking at every open bin and every item still to come."""
+    rng = random.Random(11)
+    for trial in range(40):
+        capacities = sorted(rng.sample([3, 8, 16, 20, 33, 64], rng.randint(1, 4)))
+        lengths = sorted((min(capacities[-1], int(rng.expovariate(0.1)) + 1) for _ in range(rng.randint(0, 80))), reverse=True)
+        cost = rng.choice([packing.price, lambda c: c + c * c / 10, lambda c: 1.0])
+        bins, offsets, sizes = packing.pack(lengths, tuple(capacities), cost)
+        opened, used = [], []
+        for k, (n, chosen, at) in enumerate(zip(lengths, bins, offsets)):
+            rooms = [c - u for c, u in zip(opened, used) if c - u >= n]
+            if rooms:
+                assert opened[chosen] - used[chosen] == min(rooms)
+            else:
+                rates = [(cost(c) / (n + min(c - n, sum(m for m in lengths[k + 1 :] if m <= c - n))), c) for c in capacities if c >= n]
+                assert chosen == len(opened)
+                opened.append(min(rates)[1])
+                used.append(0)
+            assert at == used[chosen]
+            used[chosen] += n
+        assert sizes == [min(c for c in capacities if c >= u) for u in used]

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -81,16 +82,67 @@ def test_scores_of_odd_tables(make_docs):
     assert len(rows) == 3 and not any(r.held_out for r in rows if r.doc_id is None)
 
 
-def test_kneser_ney_sums_to_one():
+class SlowKneserNey:
+    """Interpolated Kneser-Ney over dictionaries of tuples, straight from its definition."""
+
+    def __init__(self, texts, order=4):
+        self.order, self.counts = order, {order: collections.Counter()}
+        for t in texts:
+            plain = [" "] * (order - 1)
+            for ch in t:
+                low = ch.lower() if len(ch.lower()) == 1 else ch
+                if ch.isalpha() or len(plain) < order or plain[-1] != " ":
+                    plain.append(low if ch.isalpha() else " ")
+            self.counts[order].update(tuple(plain[k : k + order]) for k in range(len(plain) - order + 1))
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = collections.Counter(g[1:] for g in self.counts[n + 1])
+        self.alphabet = sorted({g[0] for g in self.counts[1]})
+
+    def probability(self, gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(self.alphabet) + 1)
+        c = self.counts[n]
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        follow = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+        lower = self.probability(gram[1:])
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(c[gram] - discount, 0) / total + discount * len(follow) / total * lower if gram in c else discount * len(follow) / total * lower
+
+
+def code(gram):
+    out = 0
+    for ch in gram:
+        out = (out << 16) | ord(ch)
+    return out
+
+
+def test_kneser_ney_against_its_definition():
     rng = random.Random(3)
-    g, _ = language.grams(*language.symbols([" ".join(words(rng, 50)) for _ in range(5)]))
-    codes, n = np.unique(g, return_counts=True)
-    model = language.KneserNey(codes, n)
-    alphabet = np.unique(language.tail(g, 1))
-    for context in (int(codes[5] >> np.uint64(16)), (ord("q") << 32) | (ord("q") << 16) | ord("q")):
-        p = model.probability(np.array([(context << 16) | int(a) for a in alphabet], np.uint64))
-        assert p.min() > 0 and p.sum() == pytest.approx(1 - model.uniform * np.prod([1.0]) * 0 - (1 - p.sum()), abs=1e-12)
-        assert p.sum() <= 1 + 1e-9
+    texts = {"xx": [" ".join(words(rng, 12)) for _ in range(4)] + ["Ab--ab 7 é", ""], "yy": [" ".join(words(rng, 9, "ou")) for _ in range(3)]}
+    slow = {k: SlowKneserNey(t) for k, t in texts.items()}
+    counts = {k: np.unique(language.grams(*language.symbols(t))[0], return_counts=True) for k, t in texts.items()}
+    models, fast = language.Models(counts), {k: language.KneserNey(*c) for k, c in counts.items()}
+    seen = sorted(slow["xx"].counts[4]) + sorted(slow["yy"].counts[4])
+    contexts = [g[:-1] for g in rng.sample(seen, 25)] + [("q", "q", "q"), (" ", "q", "z"), ("z", "z", "a")]
+    for k, model in slow.items():
+        grams = [(*c, a) for c in contexts for a in [*model.alphabet, "\u4e00"]]  # the last one is in no text
+        want = np.array([model.probability(g) for g in grams])
+        asked = np.array([code(g) for g in grams], np.uint64)
+        assert fast[k].probability(asked) == pytest.approx(want, rel=1e-9)
+        together = models.log_probability(asked)[:, models.languages.index(k)]
+        assert together == pytest.approx(np.log(want), rel=1e-4, abs=1e-4)
+        # The alphabet and one symbol for all others share a probability of one after every context.
+        assert want.reshape(len(contexts), -1).sum(axis=1) == pytest.approx(np.ones(len(contexts)), abs=1e-9)
+    text = "Ab ou--é"
+    entropy, _ = models.cross_entropies([text])
+    for k, model in slow.items():
+        plain = "   ab ou é"
+        want = -sum(math.log(model.probability(tuple(plain[i : i + 4]))) for i in range(len(plain) - 3)) / (len(plain) - 3)
+        assert entropy[0, models.languages.index(k)] == pytest.approx(want, rel=1e-4)
 
 
 def test_languages(spark, make_docs, odd_texts, clashing):
@@ -142,3 +194,47 @@ def test_updates_follow_the_rule():
     w = quality.ftrl([x], 2, 1, 0.5, 1.0, 0.0, 0.0)
     # One step from 0: z = g = -0.5, n = 0.25, w = 0.5 / ((1 + 0.5) / 0.5)
     assert w[0] == pytest.approx(1 / 6) and w[4] == pytest.approx(1 / 6) and not w[1:4].any()
+
+
+def slow_features(text):
+    """N-grams of words and shapes as tuples, in the order of ``quality.features``."""
+    tokens = []
+    for m in re.finditer(rb"[!-/:-@\[-`{-~]+|[^\x09-\x0d !-/:-@\[-`{-~]+", text.encode()):
+        raw = m.group()
+        tokens.append((not re.match(rb"[!-/:-@\[-`{-~]", raw), raw, raw.lower()))
+    shapes = []
+    for k, (is_word, raw, low) in enumerate(tokens):
+        caps = sum(65 <= b < 91 for b in raw)
+        kind = "lower" if not caps else ("title" if caps == 1 else "upper" if caps == len(raw) else "mixed")
+        shapes.append((kind, k > 0 and tokens[k - 1][2] == low) if is_word else low)
+    plain = [low for is_word, _, low in tokens if is_word]
+    grams = lambda name, x, n: [(name, *x[k : k + n]) for k in range(len(x) - n + 1)]
+    return [g for n in (1, 2) for g in grams(f"w{n}", plain, n)] + [g for n in (1, 2, 3) for g in grams(f"s{n}", shapes, n)]
+
+
+QUALITY_TEXTS = ["Same end", "end of Same SAME same", "", "a-b--C d!! !! d", "  \t", "É é iPhone X xx", "Same end", "end end END. end"]
+
+
+def test_quality_features_and_scores_against_plain_code(spark, make_docs):
+    joined = "".join(QUALITY_TEXTS).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in QUALITY_TEXTS])
+    h, first = quality.features(np.frombuffer(joined, np.uint8), offsets, 31)
+    named = {}
+    for k, t in enumerate(QUALITY_TEXTS):
+        want, found = slow_features(t), h[first[k] : first[k + 1]].tolist()
+        assert len(want) == len(found)
+        for gram, number in zip(want, found):
+            assert named.setdefault(gram, number) == number
+    assert len(set(named.values())) == len(named)
+
+    weights = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1)
+    got = quality.score(make_docs(QUALITY_TEXTS).coalesce(1), weights).collect()
+    w = weights.astype(np.float32).astype(np.float64)
+    alone = [quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in QUALITY_TEXTS]
+    for r in got:
+        f = alone[r.doc_id]
+        z = w[-1] + quality.SCALE * sum(w[k] for k in f.tolist()) / max(1, len(f))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    # Equal texts have equal scores to the last digit, wherever they lie among others.
+    by = {r.doc_id: r.score for r in got}
+    assert by[0] == by[6] and by[2] == by[4]

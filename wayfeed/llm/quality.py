@@ -38,9 +38,9 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     caps = np.concatenate([[0], np.cumsum(IS_UPPER[data])])
     n_caps, length = caps[ends] - caps[starts], ends - starts
     shape = np.where(n_caps == 0, 1, np.where(n_caps == length, np.where(length > 1, 3, 2), np.where(n_caps == 1, 2, 4))).astype(np.uint64)
-    previous = np.zeros_like(token)
-    previous[1:] = token[:-1]
-    shape[is_word & (token == previous)] += np.uint64(8)
+    repeats = np.zeros(len(token), bool)
+    repeats[1:] = is_word[1:] & (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])
+    shape[repeats] += np.uint64(8)
     shape = np.where(is_word, shape, token)
 
     def grams(kind: int, values: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str = "quality", f
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: int = BITS) -> DataFrame:
     """``docs`` as it is, with score (0 to 1) and predicted (1 if score >= threshold, else 0) of every whole text.
 
-    Each score is one sparse dot product.  A NULL text counts as empty and gets the score of the bias.
+    Each score is one sparse dot product, of that text alone: repeated texts have equal scores wherever they lie.  A NULL
+    text counts as empty and gets the score of the bias; columns named ``score`` and ``predicted`` are replaced, all others kept;
+    an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     taken = docs.drop("score", "predicted")
@@ -135,9 +137,11 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
     def step(rows, data, offsets):
         w = shared.value
         f, first = features(data, offsets, bits)
-        total = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
         size = np.diff(first)
-        z = w[1 << bits] + (total[first[1:]] - total[first[:-1]]) * SCALE / np.maximum(1, size)
+        filled, sums = np.flatnonzero(size), np.zeros(len(size))
+        if len(filled):
+            sums[filled] = np.add.reduceat(w[f].astype(np.float64), first[filled])
+        z = w[1 << bits] + sums * SCALE / np.maximum(1, size)
         p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
         return pa.RecordBatch.from_arrays(
             [*rows.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*rows.schema.names, "score", "predicted"]
