@@ -94,3 +94,17 @@ def test_line_ends_of_parts(tmp_path):
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
     got = [(n, v) for p in parts for b in reader.read(p) for n, v in zip(b["line"].to_pylist(), b["value"].to_pylist())]
     assert got == [(2, "xxx"), (3, "xxxxx"), (5, "xx")]
+
+
+def test_many_lots_in_one_micro_batch(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", [line(k) for k in range(7)], end="")
+    put(tmp_path / "in", "b.jsonl", [line(k) for k in range(7, 17)])
+    spark.dataSource.register(recording.RecordingSource)
+    reader = spark.readStream.format("recorded_lines").option("path", str(tmp_path / "in")).option("rowsPerBatch", 4).option("rowsPerTask", 3)
+    seen = []
+    step = lambda df, k: seen.append([(r.file, r.line, r.lot) for r in recording.recorded_rows(df).orderBy("file", "line").collect()])
+    lines = reader.option("lotsPerBatch", 3).load()
+    recording.run_to_end(lines.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "mark")))
+    order = [("a.jsonl", k + 1) for k in range(7)] + [("b.jsonl", k + 1) for k in range(10)]
+    # 17 lines in lots of four: two micro-batches, whose lots are numbered from 0 and cross the file border.
+    assert [b for b in seen if b] == [[(*at, k // 4) for k, at in enumerate(order[:12])], [(*at, k // 4) for k, at in enumerate(order[12:])]]

@@ -81,19 +81,22 @@ def feed_replay(spark, sf_dir):
 # ---------------------------------------------------------------- recordings in arrival order
 
 _PER_BATCH = 4_000
+# Batches that one micro-batch takes at once: a month is a few micro-batches, each of bounded size.
+_LOTS = 250
 # Every seventh event arrives an hour late; the last copy of every fifth event 100 seconds after the others.
 _DELAYED = "CASE WHEN event_id % 7 = 3 THEN 3600 ELSE 0 END + CASE WHEN n = 3 AND event_id % 5 = 0 THEN 100 ELSE 0 END"
 
 
 def arrivals(spark, sf_dir):
-    """The messages as recorded lines, a file for each day of arrival, rows in the order of arrival."""
+    """The messages as recorded lines, a folder for each day of arrival, files and rows in the order of arrival."""
     rows = messages(spark, sf_dir, numbered=True).withColumnRenamed("copy", "n")
     rows = rows.withColumn("arrived_at", F.timestamp_micros(F.unix_micros("received_at") + F.expr(_DELAYED).cast("bigint") * 1_000_000))
     path = shared_dir(spark, "arrivals")
     day = F.to_date("arrived_at")
     recorded = rows.select("topic", "payload", F.col("arrived_at").alias("received_at"), "event_id", "n", day.cast("string").alias("day"))
-    # One task writes a day, so its lines have one order; days are what spreads over tasks.
-    ordered = recorded.repartition("day").sortWithinPartitions("day", "received_at", "event_id", "n")
+    # Names of a write's files go by task, so the files of a busy day that several tasks share keep the order of arrival.
+    order = ("received_at", "event_id", "n")
+    ordered = recorded.repartitionByRange(*order).sortWithinPartitions("day", *order)
     ordered.drop("event_id", "n").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").partitionBy("day").json(path)
     return path
 
@@ -107,11 +110,10 @@ arrived AS (
 batched AS (SELECT *, (position - 1) // {_PER_BATCH} AS batch FROM arrived)"""
 
 
-def _recorded(spark, sf_dir):
-    path = arrivals(spark, sf_dir)
+def _recorded(spark, path, lots=_LOTS):
     spark.dataSource.register(recording.RecordingSource)
     reader = spark.readStream.format("recorded_lines").option("path", path).option("rowsPerBatch", _PER_BATCH).option("suffix", ".json")
-    return reader.load()
+    return reader.option("lotsPerBatch", lots).load()
 
 
 @query(
@@ -121,12 +123,13 @@ SELECT strftime(arrived_at, '%Y-%m-%d') AS day, event_type, count(*) AS n, count
 FROM arrived GROUP BY 1, 2""",
 )
 def recording_stream(spark, sf_dir):
-    """The recording through the streaming data source, stopped after each batch and started again from its checkpoint."""
-    out = shared_dir(spark, "recording-stream")
-    lines = recording.recorded_rows(_recorded(spark, sf_dir))
-    writer = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark")
-    m.run(writer).awaitTermination()  # a bounded run takes the one batch it asked for
-    recording.run_to_end(writer)
+    """The recording through the streaming data source, stopped after its first batch and started again from its checkpoint."""
+    out, path = shared_dir(spark, "recording-stream"), arrivals(spark, sf_dir)
+    for lots in (1, _LOTS):
+        lines = recording.recorded_rows(_recorded(spark, path, lots)).drop("lot")
+        writer = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark")
+        # A bounded run takes the one batch it asked for.
+        m.run(writer).awaitTermination() if lots == 1 else recording.run_to_end(writer)
     got = ev.parse_topic(spark.read.schema(lines.schema).parquet(out))
     day = F.regexp_extract("file", "day=([0-9-]+)", 1).alias("day")
     return got.groupBy(day, "event_type").agg(
@@ -152,7 +155,7 @@ SELECT event_type, outcome, count(*) AS n FROM (
 def late_rows(spark, sf_dir):
     """Events kept, copies and late rows of a late-shuffled recording; the counts add up to its lines."""
     out = shared_dir(spark, "late")
-    raw = feed.with_envelope(recording.recorded_rows(_recorded(spark, sf_dir)), "s1")
+    raw = feed.with_envelope(recording.recorded_rows(_recorded(spark, arrivals(spark, sf_dir), 1)), "s1")
     tagged = late.tag_copies_and_late(ev.normalize_events(raw), buckets=16).select("event_type", "outcome")
     recording.run_to_end(tagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark"))
     return late.outcome_counts(spark.read.schema(tagged.schema).parquet(out))

@@ -30,28 +30,36 @@ def _open(path: str):
 
 @dataclass
 class Lines(InputPartition):
-    """Some whole lines of one file; ``line`` numbers the first, from 1."""
+    """Some whole lines of one file; ``line`` numbers the first, from 1; ``row`` in its micro-batch, from 0."""
 
     file: str
     line: int
     start: int
     end: int
+    row: int = 0
 
 
 class RecordingReader(DataSourceStreamReader):
     """Offsets are (file, line, byte): the file being read, how many of its lines are read, and where they end.
 
     A batch takes at most ``rowsPerBatch`` lines that follow its start, over file borders, in name order.  The driver
-    only looks for line ends; tasks read the lines.  Files must be whole when they appear and later files must have later
-    names, as those of a recording by time do; a file that appears before the one being read is not seen.
+    only looks for line ends, once a batch; tasks read the lines.  Files must be whole when they appear and later files must
+    have later names, as those of a recording by time do; a file that appears before the one being read is not seen.
+
+    A micro-batch costs the same time whatever it holds, so a long recording read in small batches takes hours.  With
+    ``lotsPerBatch`` one micro-batch takes up to that many batches at once, and a column ``lot`` tells which of them a
+    line belongs to (from 0 in each micro-batch), for operators that must judge batch by batch.
     """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"].rstrip("/")
-        self.most = int(options.get("rowsPerBatch", ROWS_PER_BATCH))
+        self.lot = int(options.get("rowsPerBatch", ROWS_PER_BATCH))
+        self.lots = options.get("lotsPerBatch")
+        self.most = self.lot * int(self.lots or 1)
         self.per_task = int(options.get("rowsPerTask", ROWS_PER_TASK))
         self.suffix = options.get("suffix", ".jsonl")
         self.at: dict | None = None
+        self.planned: tuple | None = None  # start, end and parts of the batch that was looked for last
 
     def names(self) -> list[str]:
         """The recording's files below its folder, by name; what Spark has not finished writing is left out."""
@@ -69,35 +77,34 @@ class RecordingReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.at is None:
             self.initialOffset()
-        *_, end = self._walk(self.at, None)
+        found = list(self._walk(self.at, None))
+        end = found[-1][1] if found else self.at
+        self.planned = (self.at, end, [part for part, _ in found])
         return end
 
     def partitions(self, start: dict, end: dict) -> list[Lines]:
         self.at = end  # also on a restart, when Spark tells the last offset as an empty range
         if start == end:
             return []
-        return [part for part, _ in self._walk(start, end) if part is not None]
+        if self.planned is not None and self.planned[:2] == (start, end):
+            return self.planned[2]
+        return [part for part, _ in self._walk(start, end)]
 
-    def _walk(self, start: dict, end: dict | None) -> Iterator:
-        """(part of at most ``rowsPerTask`` lines, offset behind it) from ``start``; without ``end`` the last item is the next batch's end."""
-        names = self.names()
+    def _walk(self, start: dict, end: dict | None) -> Iterator[tuple[Lines, dict]]:
+        """(part of at most ``rowsPerTask`` lines, offset behind it) from ``start`` to ``end``, without it to the next batch's end."""
         left = self.most if end is None else None
-        offset = start
-        for name in names:
+        row = 0
+        for name in self.names():
             if name < start["file"] or (end is not None and name > end["file"]):
                 continue
             byte, line = (start["byte"], start["line"]) if name == start["file"] else (0, 0)
             for n, upto in self._line_ends(name, byte, None if end is None or name != end["file"] else end["byte"], left):
-                offset = {"file": name, "line": line + n, "byte": upto}
-                if end is not None:
-                    yield Lines(name, line + 1, byte, upto), offset
-                byte, line = upto, line + n
+                yield Lines(name, line + 1, byte, upto, row), {"file": name, "line": line + n, "byte": upto}
+                byte, line, row = upto, line + n, row + n
                 if left is not None:
                     left -= n
             if left == 0:
                 break
-        if end is None:
-            yield offset
 
     def _line_ends(self, name: str, byte: int, stop: int | None, most: int | None) -> Iterator[tuple[int, int]]:
         """(lines, byte behind them) of consecutive parts of a file; the last line may lack its line feed."""
@@ -108,17 +115,19 @@ class RecordingReader(DataSourceStreamReader):
             limit = self.per_task if most is None else min(self.per_task, most)
             while at < size:
                 piece = file.read_at(min(STEP_BYTES, size - at), at)
-                found = piece.find(b"\n")
-                while found >= 0:
-                    lines, last = lines + 1, at + found + 1
-                    if lines == limit:
-                        yield lines, last
-                        most = None if most is None else most - lines
-                        if most == 0:
-                            return
-                        limit = self.per_task if most is None else min(self.per_task, most)
-                        lines = 0
-                    found = piece.find(b"\n", found + 1)
+                found = -1
+                while lines + (n := piece.count(b"\n", found + 1)) >= limit:
+                    for _ in range(limit - lines):
+                        found = piece.find(b"\n", found + 1)
+                    last = at + found + 1
+                    yield limit, last
+                    most = None if most is None else most - limit
+                    if most == 0:
+                        return
+                    limit = self.per_task if most is None else min(self.per_task, most)
+                    lines = 0
+                if n:
+                    lines, last = lines + n, at + piece.rfind(b"\n") + 1
                 at += len(piece)
             if last < size:
                 yield lines + 1, size
@@ -131,7 +140,7 @@ class RecordingReader(DataSourceStreamReader):
         system, root = _open(self.path)
         with system.open_input_file(f"{root}/{partition.file}") as file:
             file.seek(partition.start)
-            line, rest, left = partition.line, b"", partition.end - partition.start
+            line, row, rest, left = partition.line, partition.row, b"", partition.end - partition.start
             while left or rest:
                 piece = file.read(min(STEP_BYTES, left))
                 left -= len(piece)
@@ -139,31 +148,34 @@ class RecordingReader(DataSourceStreamReader):
                 if not left and rest:
                     whole, rest = [*whole, rest], b""
                 for k in range(0, len(whole), LINES_PER_STEP):
-                    part = [(line + k + i, text) for i, text in enumerate(whole[k : k + LINES_PER_STEP]) if text.strip()]
+                    part = [(k + i, text) for i, text in enumerate(whole[k : k + LINES_PER_STEP]) if text.strip()]
                     values = pa.array([text.decode("utf-8", "replace") for _, text in part], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(part), pa.string()), pa.array([n for n, _ in part], pa.int64()), values], ["file", "line", "value"])
-                line += len(whole)
+                    columns = {"file": pa.array([partition.file] * len(part), pa.string()), "line": pa.array([line + i for i, _ in part], pa.int64()), "value": values}
+                    if self.lots:
+                        columns["lot"] = pa.array([(row + i) // self.lot for i, _ in part], pa.int64())
+                    yield pa.RecordBatch.from_pydict(columns)
+                line, row = line + len(whole), row + len(whole)
 
     def commit(self, end: dict) -> None:
         """Nothing is held for lines already read."""
 
 
 class RecordingSource(DataSource):
-    """``format("recorded_lines")``: file, line and text of every line of a folder that is not blank."""
+    """``format("recorded_lines")``: file, line and text of every line of a folder that is not blank, with ``lotsPerBatch`` its lot."""
 
     @classmethod
     def name(cls) -> str:
         return "recorded_lines"
 
     def schema(self) -> str:
-        return "file string, line long, value string"
+        return "file string, line long, value string" + (", lot long" if self.options.get("lotsPerBatch") else "")
 
     def streamReader(self, schema) -> RecordingReader:
         return RecordingReader(self.options)
 
 
 def recorded_rows(lines: DataFrame) -> DataFrame:
-    """Recorded columns with file and line; text that is no JSON object becomes the payload of a row without topic."""
+    """Recorded columns with file and line (and lot); text that is no JSON object becomes the payload of a row without topic."""
     parsed = lines.withColumn("body", F.from_json("value", RECORDED))
     bad = F.col("body.topic").isNull() & F.col("body.payload").isNull() & F.col("body.received_at").isNull()
     return parsed.select(
@@ -172,6 +184,7 @@ def recorded_rows(lines: DataFrame) -> DataFrame:
         F.col("body.received_at").alias("received_at"),
         "file",
         "line",
+        *[c for c in ("lot",) if c in lines.columns],
     )
 
 
