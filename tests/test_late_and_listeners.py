@@ -78,6 +78,24 @@ def test_kept_copies_and_late_rows_add_up(spark, tmp_path):
         assert counts == dict(want) and sum(counts.values()) == len(data)
 
 
+def test_lots_of_one_micro_batch_are_judged_as_batches(spark, tmp_path):
+    data = shuffled(11)
+    lots = [data[k : k + 30] for k in range(0, len(data), 30)]
+    want = brute(lots)
+    assert min(want[k] for k in ("kept", "copy", "late")) > 5
+    columns = f"{EVENT}, lot bigint"
+    for name, per_batch in (("one", len(lots)), ("three", 3)):
+        source, out = str(tmp_path / f"{name}-in"), str(tmp_path / name)
+        for k in range(0, len(lots), per_batch):
+            part = [(*r, n) for n, lot in enumerate(lots[k : k + per_batch]) for r in lot]
+            spark.createDataFrame(part, columns).repartition(3).write.mode("append").parquet(source)
+            tagged = late.tag_copies_and_late(spark.readStream.schema(columns).parquet(source), buckets=4, lot="lot")
+            m.run(tagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark")).awaitTermination()
+        got = spark.read.schema(tagged.schema).parquet(out)
+        counts = {r["outcome"]: r["n"] for r in rows(late.outcome_counts(got).groupBy("outcome").agg(F.sum("n").alias("n")))}
+        assert counts == dict(want) and sum(counts.values()) == len(data)
+
+
 def test_batch_table_has_copies_and_no_late_rows(spark):
     data = shuffled(5, 60)
     got = rows(late.tag_copies_and_late(spark.createDataFrame(data, EVENT)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,10 @@ def timetable_lateness(event_type: Column, tst: Column, arrival: Column, departu
     return F.round((F.unix_micros(tst) - F.unix_micros(planned)) / F.lit(1e6)).cast("int")
 
 
-def normalize_events(raw: DataFrame) -> DataFrame:
+def normalize_events(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Typed events from raw rows of kind ``event``; works on batch and stream.
 
-    Values that cannot be read become NULL, so one bad row never stops a job.
+    Values that cannot be read become NULL, so one bad row never stops a job.  Columns in ``keep`` stay as they are.
     """
     parsed = parse_payload(parse_topic(raw.where(F.col("kind") == "event")))
     b = parsed["body"]
@@ -78,6 +78,7 @@ def normalize_events(raw: DataFrame) -> DataFrame:
         b["occu"].alias("occupancy"),
         "received_at",
         "session_id",
+        *keep,
     )
     return typed.withColumn(
         "timetable_lateness_s",

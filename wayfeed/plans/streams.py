@@ -155,8 +155,8 @@ SELECT event_type, outcome, count(*) AS n FROM (
 def late_rows(spark, sf_dir):
     """Events kept, copies and late rows of a late-shuffled recording; the counts add up to its lines."""
     out = shared_dir(spark, "late")
-    raw = feed.with_envelope(recording.recorded_rows(_recorded(spark, arrivals(spark, sf_dir), 1)), "s1")
-    tagged = late.tag_copies_and_late(ev.normalize_events(raw), buckets=16).select("event_type", "outcome")
+    raw = feed.with_envelope(recording.recorded_rows(_recorded(spark, arrivals(spark, sf_dir))), "s1", keep=["lot"])
+    tagged = late.tag_copies_and_late(ev.normalize_events(raw, keep=["lot"]), buckets=16, lot="lot").select("event_type", "outcome")
     recording.run_to_end(tagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark"))
     return late.outcome_counts(spark.read.schema(tagged.schema).parquet(out))
 

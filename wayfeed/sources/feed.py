@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
@@ -33,14 +35,15 @@ def read_feed(
     return lines.where(F.col("topic").isNotNull() | F.col("payload").isNotNull())
 
 
-def with_envelope(recorded: DataFrame, session_id: str) -> DataFrame:
-    """Raw table rows of kind ``event`` under one session id per reader start."""
+def with_envelope(recorded: DataFrame, session_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Raw table rows of kind ``event`` under one session id per reader start; columns in ``keep`` stay."""
     return recorded.select(
         F.lit("event").alias("kind"),
         "topic",
         "payload",
         "received_at",
         F.lit(session_id).alias("session_id"),
+        *keep,
     )
 
 
