@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clock import instant, whole_seconds
 from ..functions.status import HIDDEN_S
@@ -91,16 +96,48 @@ def find_stops(queries: DataFrame, stops: DataFrame, k: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- weather
 
 
-def parse_weather(responses: DataFrame, key: str = "point_id", body: str = "body") -> DataFrame:
-    """Hourly forecast rows from XML answers: one row per key and hour, NaN as NULL."""
+_MEMBERS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in "tnv"]))
 
-    def texts(element: str) -> Column:
-        return F.xpath(F.col(body), F.lit(f'//*[local-name()="{element}"]/text()'))
 
-    members = F.arrays_zip(
-        texts("Time").alias("t"), texts("ParameterName").alias("n"), texts("ParameterValue").alias("v")
-    )
-    long = responses.select(key, F.inline(members).alias("t", "n", "v")).select(
+@F.pandas_udf(_MEMBERS)
+def _weather_members(bodies: pd.Series) -> pd.Series:
+    """Texts of the elements Time, ParameterName and ParameterValue of XML answers, in their order, side by side."""
+
+    def members(body: str | None) -> list[dict] | None:
+        if not body:
+            return None
+        found, open_elements, pieces = {"Time": [], "ParameterName": [], "ParameterValue": []}, [], []
+
+        def end_of_text(*_) -> None:
+            # A text ends where an element, a comment or an instruction begins or ends.
+            if pieces and open_elements[-1] in found:
+                found[open_elements[-1]].append("".join(pieces))
+            pieces.clear()
+
+        def start(name: str, _) -> None:
+            end_of_text()
+            open_elements.append(name.rpartition(":")[2])
+
+        def end(_) -> None:
+            end_of_text()
+            open_elements.pop()
+
+        parser = expat.ParserCreate()
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, pieces.append
+        parser.CommentHandler = parser.ProcessingInstructionHandler = end_of_text
+        parser.Parse(body, True)
+        return [dict(zip("tnv", texts)) for texts in zip_longest(*found.values())]
+
+    return bodies.map(members)
+
+
+def parse_weather(responses: DataFrame, key: str = "point_id", body: str = "body") -> DataFrame:
+    """Hourly forecast rows from XML answers: one row per key and hour, NaN as NULL.
+
+    Answers are parsed once each, in the tasks that hold them.  A body that is no XML stops the job.
+    """
+    long = responses.select(key, F.inline(_weather_members(body)).alias("t", "n", "v")).select(
         key,
         F.try_to_timestamp("t").alias("forecast_at"),
         "n",

@@ -108,7 +108,9 @@ def weather_bodies(df, key: Column, point: Column, now: Column):
     body = F.concat(
         F.lit('<?xml version="1.0"?><m:All xmlns:m="urn:m" xmlns:b="urn:b">'), F.array_join(members, ""), F.lit("</m:All>")
     )
-    timed = df.withColumn("hour_s", F.unix_seconds(F.date_trunc("hour", now)))
+    # A table may be one row group, read by one task; the keys are dealt out before they become text.
+    dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    timed = dealt.withColumn("hour_s", F.unix_seconds(F.date_trunc("hour", now)))
     return timed.select(point.alias("point_id"), body.alias("body"))
 
 
