@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,8 +114,15 @@ def _tie(text: str) -> tuple:
     return tuple((values.get(c) is not None, isinstance(values.get(c), str), values.get(c)) for c in MEASURED)
 
 
+def _with_state(rows: pd.DataFrame, text: str, kept: Sequence[list]) -> pd.DataFrame:
+    """The lists of a state, as rows before the new ones."""
+    before = pd.DataFrame({"_key": kept[0], "_us": kept[1], text: kept[2]})
+    every = pd.concat([before.astype(object), rows[["_key", "_us", text]].astype(object)], ignore_index=True)
+    return every.astype({"_us": "int64"})
+
+
 def snapshot_reports_stream(
-    reports: DataFrame, positions: DataFrame, delay: str = DEDUP_WATERMARK, look_back_s: int = 600, span_s: int = 3600
+    reports: DataFrame, positions: DataFrame, delay: str = DEDUP_WATERMARK, look_back_s: int = 600, span_s: int = 3600, buckets: int = 256
 ) -> DataFrame:
     """``reports.snapshot_reports`` of two streams: each report with its vehicle's last position at or before it.
 
@@ -124,7 +131,9 @@ def snapshot_reports_stream(
     A report behind the watermark is given out at once, unmatched, with ``late`` true and the reason in ``rejected``; one
     without vehicle or time at once as on a vehicle not seen.  Late positions still serve reports that wait.
 
-    The state of a (vehicle, span) holds waiting reports, positions after the watermark and the best one before it.
+    Of each (vehicle, span) the state holds waiting reports, positions after the watermark and the best one before it.
+    Vehicles are many and most are seen rarely, so a call of the state handles all (vehicle, span) of one of ``buckets``,
+    by hash; the number never changes the result.
     """
     if not 0 < look_back_s <= span_s:
         raise ValueError("a span must be at least as long as the look-back")
@@ -153,51 +162,50 @@ def snapshot_reports_stream(
     # A report early in the next span may ask for a position late in this one.
     after = F.floor((F.unix_seconds("at") + F.lit(look_back_s)) / F.lit(span_s))
     seen = _by_span(seen, "at", F.array_distinct(F.array(own, after)), delay)
-    both = said.unionByName(seen).withColumns({"_us": F.coalesce(F.unix_micros("at"), F.lit(0)), "_placed": placed})
+    key = F.concat(F.col("_span").cast("string"), F.lit("|"), F.col("vehicle_id"))
+    bucket = F.pmod(F.xxhash64("vehicle_id", "_span"), F.lit(buckets))
+    columns = {"_key": F.when(placed, key), "_us": F.coalesce(F.unix_micros("at"), F.lit(0)), "_bucket": bucket}
+    both = said.unionByName(seen).withColumns(columns).drop("at", "_span")
 
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        vehicle, span = group[0], int(group[1])
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark_ms = state.getCurrentWatermarkMs()
-        waiting, known = ([], [])
-        if state.exists:
-            report_us, report_text, seen_us, seen_text = state.get
-            waiting, known = list(zip(report_us, report_text)), list(zip(seen_us, seen_text))
-        out = []
-        for rows in parts:
-            for us, is_position, report, measured, ok in zip(rows["_us"], rows["report"].isna(), rows["report"], rows["measured"], rows["_placed"]):
-                if is_position:
-                    known.append((int(us), measured))
-                elif not ok:
-                    out.append((report, None, False))
-                elif mark_ms > 0 and us // 1000 <= mark_ms:
-                    out.append((report, None, True))
-                else:
-                    waiting.append((int(us), report))
-        waiting.sort()
-        known.sort(key=lambda p: (p[0], _tie(p[1])))
-        instants = [us for us, _ in known]
         passed = mark_ms * 1000 + 999 if mark_ms > 0 else -1
-        ready = bisect_right([us for us, _ in waiting], passed)
-        for us, report in waiting[:ready]:
-            k = bisect_right(instants, us) - 1
-            near = k >= 0 and us // 1_000_000 - instants[k] // 1_000_000 <= look_back_s
-            out.append((report, known[k][1] if near else None, False))
-        # Of the positions no waiting report can precede, only the last one can still be the answer.
-        waiting, known = waiting[ready:], known[max(bisect_right(instants, passed) - 1, 0) :]
-        end_ms = (span + 1) * span_s * 1000
-        if span >= 0 and (waiting or (known and mark_ms < end_ms)):
-            state.update(([u for u, _ in waiting], [r for _, r in waiting], [u for u, _ in known], [m for _, m in known]))
-            state.setTimeoutTimestamp(waiting[-1][0] // 1000 if waiting else end_ms)
+        rows = pd.concat([pd.DataFrame([], columns=["vehicle_id", "_key", "_us", "report", "measured"]), *parts], ignore_index=True)
+        placed, is_report = rows["_key"].notna(), rows["report"].notna()
+        late = is_report & placed & (rows["_us"].astype("int64") <= passed) & (mark_ms > 0)
+        kept = state.get if state.exists else ([], [], [], [], [], [])
+        waiting = _with_state(rows[is_report & placed & ~late], "report", kept[:3])
+        known = _with_state(rows[~is_report], "measured", kept[3:]).drop_duplicates(ignore_index=True)
+        # Several rows of a vehicle at one instant are ordered by their values.
+        known["_tie"] = 0
+        same = known.index[known.duplicated(["_key", "_us"], keep=False)]
+        known.loc[sorted(same, key=lambda i: _tie(known.at[i, "measured"])), "_tie"] = range(len(same))
+        known = known.sort_values(["_us", "_tie"], ignore_index=True).drop(columns="_tie")
+        is_ready = waiting["_us"] <= passed
+        ready, waiting = waiting[is_ready].sort_values("_us", kind="stable"), waiting[~is_ready]
+        found = pd.merge_asof(ready, known.assign(_seen=known["_us"]), on="_us", by="_key")
+        near = found["_seen"].notna() & (found["_us"] // 1_000_000 - found["_seen"].fillna(0).astype("int64") // 1_000_000 <= look_back_s)
+        found = found.assign(vehicle_id=found["_key"].str.partition("|")[2] if len(found) else None, measured=found["measured"].where(near, None), late=False)
+        at_once = rows.assign(measured=None, late=late)[is_report & (late | ~placed)]
+        # Of the positions no waiting report can precede, only the last one can still be the answer, until its span ends.
+        past = known["_us"] <= passed
+        end_ms = (known["_key"].str.partition("|")[0].astype("int64") + 1) * span_s * 1000 if len(known) else known["_us"]
+        open_keys = known["_key"].isin(waiting["_key"])
+        known = known[(~past | ~known["_key"].where(past).duplicated(keep="last")) & (open_keys | (end_ms > mark_ms))]
+        if len(waiting) or len(known):
+            state.update(tuple(part[c].tolist() for part, c in ((waiting, "_key"), (waiting, "_us"), (waiting, "report"), (known, "_key"), (known, "_us"), (known, "measured"))))
+            due = [*waiting["_us"] // 1000, *end_ms[known.index[~open_keys[known.index]]]]
+            state.setTimeoutTimestamp(max(int(min(due)), mark_ms + 1))
         elif state.exists:
             state.remove()
-        if out:
-            matched = pd.DataFrame(out, columns=["report", "measured", "late"])
-            yield matched.assign(vehicle_id=vehicle)[["vehicle_id", "report", "measured", "late"]]
+        for out in (found, at_once):
+            if len(out):
+                yield out[["vehicle_id", "report", "measured", "late"]]
 
-    matched = both.groupBy("vehicle_id", "_span").applyInPandasWithState(
+    matched = both.groupBy("_bucket").applyInPandasWithState(
         step,
         "vehicle_id string, report string, measured string, late boolean",
-        "report_us array<bigint>, reports array<string>, seen_us array<bigint>, seen array<string>",
+        "report_key array<string>, report_us array<bigint>, reports array<string>, seen_key array<string>, seen_us array<bigint>, seen array<string>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
