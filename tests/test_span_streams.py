@@ -121,6 +121,22 @@ def test_reports_and_positions_as_two_streams(spark, tmp_path):
     assert sum(r["rejected"] is None for r in want) > 100 and sum(r["rejected"] is not None and r["vehicle_id"] == "hot" for r in want) > 5
 
 
+def test_state_calls_of_snapshots_do_not_grow_with_vehicles(spark, tmp_path):
+    """Many vehicles seen once: the state holds a row a bucket, not one a vehicle; the result is that of the batch form."""
+    moment = at(0)
+    spark.createDataFrame([(k, moment, f"v{k}", None) for k in range(500)] + [(-1, at(10**6), "closing", None)], SAID).coalesce(1).write.parquet(f"{tmp_path}/said")
+    spark.createDataFrame([(f"v{k}", "tram", f"{k}", "1", k, moment, 60.0, 24.0) for k in range(0, 500, 2)] + [("closing", "tram", "1", "1", 0, at(10**6), 1.0, 1.0)], SEEN).coalesce(1).write.parquet(f"{tmp_path}/seen")
+    streams = [spark.readStream.schema(s).parquet(f"{tmp_path}/{n}") for n, s in (("said", SAID), ("seen", SEEN))]
+    out = str(tmp_path / "out")
+    tagged = spans.snapshot_reports_stream(*streams, delay="1 minute", look_back_s=120, span_s=180, buckets=8)
+    query = tagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert 0 < max(states) <= 8 * 2  # a bucket has a row for its state and one for its time to end
+    found = {r["report_id"]: (r["route"], r["rejected"]) for r in rows(spark.read.parquet(out))}
+    assert found == {k: (f"{k}", None) if k % 2 == 0 else (None, rep.GONE_MESSAGE) for k in range(500)}
+
+
 def test_limits_of_spans(spark):
     hb = spark.createDataFrame([], BEATS)
     with pytest.raises(ValueError):
