@@ -227,7 +227,8 @@ def plan_responses(spark, sf_dir, now: Column):
         .when(kind == 5, "not a document")
         .otherwise(good)
     )
-    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    # As in weather_bodies, keys are dealt out before they become text.
+    orders = load(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     return orders.select(
         o.alias("request_id"), F.when(kind == 4, 500).otherwise(200).alias("status"), body.alias("body")
     )
