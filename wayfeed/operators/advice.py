@@ -66,12 +66,14 @@ def find_stops(queries: DataFrame, stops: DataFrame, k: int = 10) -> DataFrame:
     trimmed query, case ignored.  ``%`` and ``_`` in a query stand for
     themselves.  Only prefixes someone asked for are kept, and each is reduced
     to its k best stops (limited on the map side too) before queries join it,
-    so a short prefix shared by many stops never multiplies rows.
+    so a short prefix shared by many stops never multiplies rows.  That first
+    limit sorts what a task holds, so stops are dealt out before they become
+    prefixes; queries are never collected, whatever the size of their table.
     """
     asked = queries.select("query_id", F.lower(F.trim("name")).alias("prefix"))
     wanted = asked.where(F.col("prefix").isNotNull()).select("prefix").distinct()
     lower = F.lower("stop_name")
-    prefixes = stops.where(F.col("stop_name").isNotNull()).select(
+    prefixes = stops.where(F.col("stop_name").isNotNull()).repartition("stop_id", "stop_name").select(
         "stop_id",
         "stop_name",
         "stop_code",
@@ -90,7 +92,8 @@ def find_stops(queries: DataFrame, stops: DataFrame, k: int = 10) -> DataFrame:
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
     )
-    return asked.join(top, "prefix").drop("prefix")
+    # A prefix has at most k stops, so its side is the one to keep in memory.
+    return asked.join(top.hint("shuffle_hash"), "prefix").drop("prefix")
 
 
 # ---------------------------------------------------------------- weather
