@@ -267,3 +267,36 @@ def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
     step(batches[4], 4)  # a repeated batch gives the same state and changes
     assert rows(bk.read_buckets(spark, path), "k") == sorted([r.asDict() for r in states[-1]], key=lambda r: (r["k"] is not None, r["k"]))
     assert bk.read_changes(spark, path).where("version = 4").count() == 2
+
+
+def test_silver_parses_each_row_once_and_keeps_rows_without_a_key(spark, tmp_path):
+    from wayfeed.sources.feed import read_bronze
+
+    bad = [(topic, "no json") for topic, _ in SAMPLE[:2]] * 2
+    bronze(spark, SAMPLE + bad).withColumn("received_date", F.to_date("received_at")).write.parquet(f"{tmp_path}/bronze")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the plan of the batch with the rows is wanted
+    try:
+        query = m.write_silver(read_bronze(spark, f"{tmp_path}/bronze", True), f"{tmp_path}/silver", f"{tmp_path}/mark")
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("from_json") == 1 and "ReusedExchange" in plan
+    # Three copies of a position are one row; rows without vehicle and time stay, equal or not.
+    found = {r["stream"]: r["count"] for r in m.read_silver(spark, f"{tmp_path}/silver").groupBy("stream").count().collect()}
+    assert found == {"position": 2, "stop": 5, "rejected": 4}
+
+
+def test_messages_of_one_row_group_are_made_in_order_by_many_tasks(spark, tmp_path):
+    from wayfeed.plans.views import heartbeat_rows, messages
+
+    events = spark.range(400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).alias("ts"), (F.col("id") % 9).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 5}').alias("props"),
+    )
+    events.orderBy(F.rand(3)).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for made, n in ((messages(spark, str(tmp_path), in_order=True), 700), (heartbeat_rows(spark, str(tmp_path), in_order=True), 400)):
+        parts = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.min("received_at").alias("a"), F.max("received_at").alias("z"))
+        parts = sorted(parts.collect(), key=lambda r: r["part"])
+        assert len(parts) > 1 and sum(r["n"] for r in parts) == n
+        assert all(a["z"] < b["a"] for a, b in zip(parts, parts[1:]))

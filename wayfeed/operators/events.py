@@ -114,6 +114,23 @@ def dedup_events(events: DataFrame) -> DataFrame:
     )
 
 
+def dedup_keyed(events: DataFrame) -> DataFrame:
+    """The stream of :func:`dedup_events` for rows with all keys; what lacks one cannot have copies and stays, row by row.
+
+    Both kinds come out of one exchange, so each row is parsed once.  A filter on columns would move below the exchange and
+    make two of it; on columns of a generator (the mark, and the type that ``route_events`` asks for) it stays above.
+    """
+    known = F.col(DEDUP_KEYS[0]).isNotNull()
+    for c in DEDUP_KEYS[1:]:
+        known = known & F.col(c).isNotNull()
+    marks = F.inline(F.array(F.struct(known.alias("__keyed"), F.col("event_type").alias("__type"))))
+    dealt = events.repartition(*DEDUP_KEYS).select("*", marks)
+    keyed, others = dealt.where("__keyed"), dealt.where("not __keyed").withColumn("event_type", F.col("__type"))
+    # Fresh names, else the union would hold on to columns of its first side and the exchanges would differ in them.
+    kept = dedup_events(keyed.drop("__keyed", "__type")).select(*[F.col(c).alias(c) for c in events.columns])
+    return kept.unionByName(others.drop("__keyed", "__type"))
+
+
 def _broken(rules: Mapping[str, str]) -> Column:
     """Names of the rules a row breaks; a rule that is NULL counts as broken."""
     named = [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in rules.items()]

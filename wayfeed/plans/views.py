@@ -170,9 +170,10 @@ departures AS (
 SQL_DEPARTURES = f"{SQL_TRANSIT}, {SQL_DEPARTURES_ONLY}"
 
 
-def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heartbeats(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """V1 as heartbeats: one session per event type, totals growing with the event number."""
-    return load(spark, sf_dir, "events").select(
+    events = load(spark, sf_dir, "events") if events is None else events
+    return events.select(
         F.col("event_type").alias("session_id"),
         F.col("ts").alias("heartbeat_at"),
         (F.col("event_id") + 1).alias("received_total"),
@@ -243,13 +244,19 @@ def feed_type(event_id: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in ("vp", "arr", "pde", "dep")]), (event_id % 4 + 1).cast("int"))
 
 
-def messages(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+def _dealt_out(spark: SparkSession, sf_dir: str, in_order: bool) -> DataFrame:
+    """The events in as many tasks as there are cores; ``in_order``: each task has the events of a part of the time."""
+    events, n = load(spark, sf_dir, "events"), spark.sparkContext.defaultParallelism
+    return events.repartitionByRange(n, "ts", "event_id") if in_order else events.repartition(n, "event_id")
+
+
+def messages(spark: SparkSession, sf_dir: str, numbered: bool = False, in_order: bool = False) -> DataFrame:
     """V1 as raw rows: JSON payloads under a topic; positions arrive four times, some bodies are bad.
 
-    ``numbered`` keeps the event's id and the number of the copy.
+    ``numbered`` keeps the event's id and the number of the copy; ``in_order`` has the partitions in order of time.
     """
     # A recording is many files; the given table is one row group, so its rows are dealt out before they become text.
-    events = load(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    events = _dealt_out(spark, sf_dir, in_order)
     t = transit(spark, sf_dir, events)
     kind = feed_type(F.col("event_id"))
     planned = F.col("scheduled_departure")
@@ -296,9 +303,9 @@ def messages(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFr
     )
 
 
-def heartbeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heartbeats as raw rows."""
-    return heartbeats(spark, sf_dir).select(
+def heartbeat_rows(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """The heartbeats as raw rows; ``in_order`` deals them out as that of :func:`messages` does."""
+    return heartbeats(spark, sf_dir, _dealt_out(spark, sf_dir, True) if in_order else None).select(
         F.lit("heartbeat").alias("kind"),
         F.lit(None).cast("string").alias("topic"),
         F.to_json(F.struct("received_total", "dropped_total")).alias("payload"),

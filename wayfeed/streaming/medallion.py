@@ -18,7 +18,7 @@ from ..functions.clock import use_utc
 from ..operators.coverage import coverage_minutely
 from ..operators.departures import build_departures
 from ..operators.events import (
-    dedup_events,
+    dedup_keyed,
     normalize_events,
     observe_rules,
     parse_heartbeats,
@@ -27,7 +27,7 @@ from ..operators.events import (
     stop_events,
 )
 from ..operators.fleet import current_columns, latest_by_key
-from ..schemas import DEDUP_KEYS, ENVELOPE, LATENESS_PLAUSIBLE
+from ..schemas import ENVELOPE, LATENESS_PLAUSIBLE
 from ..sources.feed import heartbeat_ledger, read_bronze, read_feed, with_envelope, with_received_date
 from ..sources.paths import children
 from ..sources.paths import read_text, write_text
@@ -69,8 +69,6 @@ def write_silver(
     partition first, in ``files`` parts each, so that today's partition, which
     gets nearly all rows, is still written by that many tasks.
     """
-    # What has no key cannot have copies: it is rejected row by row.
-    keyed = " and ".join(f"{c} is not null" for c in DEDUP_KEYS)
     typed = normalize_events(bronze)
     if show_late:
         tagged = tag_copies_and_late(typed).where(F.col("outcome") != COPY)
@@ -78,7 +76,8 @@ def write_silver(
         rules = F.when(late, F.array_append("failed_rules", F.lit("behind_watermark"))).otherwise(F.col("failed_rules"))
         routed = route_events(tagged).withColumns({"failed_rules": rules, "stream": F.when(late, "rejected").otherwise(F.col("stream"))}).drop("outcome")
     else:
-        routed = route_events(dedup_events(typed.where(keyed)).unionByName(typed.where(f"not ({keyed})")))
+        # What has no key cannot have copies: it is rejected row by row.
+        routed = route_events(dedup_keyed(typed))
     events = observe_rules(routed, "quality", LATENESS_PLAUSIBLE).withColumn("event_date", F.to_date("tst"))
     part = F.pmod(F.xxhash64("vehicle_id", "tst"), F.lit(files))
     writer = (
