@@ -270,13 +270,11 @@ def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
 
 
 def test_silver_parses_each_row_once_and_keeps_rows_without_a_key(spark, tmp_path):
-    from wayfeed.sources.feed import read_bronze
-
     bad = [(topic, "no json") for topic, _ in SAMPLE[:2]] * 2
     bronze(spark, SAMPLE + bad).withColumn("received_date", F.to_date("received_at")).write.parquet(f"{tmp_path}/bronze")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # the plan of the batch with the rows is wanted
     try:
-        query = m.write_silver(read_bronze(spark, f"{tmp_path}/bronze", True), f"{tmp_path}/silver", f"{tmp_path}/mark")
+        query = m.write_silver(feed.read_bronze(spark, f"{tmp_path}/bronze", True), f"{tmp_path}/silver", f"{tmp_path}/mark")
         query.awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
