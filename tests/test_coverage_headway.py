@@ -161,6 +161,25 @@ def test_a_long_planned_gap_is_no_plan(spark):
     assert [(r["scheduled_headway_s"], r["bunching"]) for r in found] == [(None, False)]
 
 
+def test_the_plan_orders_each_instant_once(spark, tmp_path):
+    """Equal to gaps of all rows, ties and fractions of a second included, with one read and no sort of the pairs by place."""
+    rng = random.Random(5)
+    data = [(f"v{i}", f"{rng.randrange(8, 12):02}:{rng.randrange(60):02}:00", f"{rng.randrange(8, 12):02}:{rng.randrange(0, 60, 4):02}:00.{rng.choice('005')}", 0) for i in range(200)]
+    dep = departures(spark, [*data, ("v", "10:00:00", None, None)])
+    hour = F.date_trunc("hour", "scheduled_departure").alias("planned_hour")
+    for max_gap, span in ((3600, 3600), (300, 60), (600, 86_400)):
+        gaps = h.scheduled_gaps(dep, max_gap, span).groupBy(*h.PLACE, hour)
+        plain = gaps.agg(F.percentile_approx("scheduled_gap_s", 0.5).cast("int").alias("planned_headway_s")).where("planned_headway_s IS NOT NULL")
+        found = h.planned_headway(dep, max_gap, span)
+        assert found.dtypes == plain.dtypes and rows(found, "planned_hour") == rows(plain, "planned_hour") != []
+    dep.write.parquet(str(tmp_path / "dep"))
+    stored = spark.read.parquet(str(tmp_path / "dep"))
+    assert h.planned_headway(stored)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    pairs = h.bunching_pairs(stored, "2026-10-03 09:00:00", "2026-10-03 11:00:00")
+    plan = pairs._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation") == 3 and "SortMergeJoin" not in plan.executedPlan().toString()
+
+
 def test_bunching_now_keeps_the_latest_stop_and_always_a_row(spark):
     dep = departures(
         spark,

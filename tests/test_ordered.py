@@ -58,6 +58,38 @@ def test_running_sum(data, span):
     assert collect(o.with_running_sum(data, ["key"], "at", {"x": "v"}, span, ["id"])) == plain
 
 
+@pytest.mark.parametrize("span", SPANS)
+def test_values_by_name_equal_expressions(data, span):
+    w = Window.partitionBy("key").orderBy("at", "id")
+    plain = collect(data.withColumn("x", F.lag("v").over(w)))
+    assert collect(o.with_previous(data, ["key"], "at", {"x": "v"}, span, ["id"])) == plain
+    both = o.with_previous(data, ["key"], "at", {"y": F.col("v") + 0, "x": "v"}, span, ["id"])
+    assert both.columns == [*data.columns, "y", "x"] and both.where(~F.col("x").eqNullSafe(F.col("y"))).count() == 0
+
+
+def test_rows_travel_without_copies_of_their_columns(data):
+    df = o.with_previous(data, ["key"], "at", {"x": "v", "y": "id"}, 3600, ["id"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "__values" not in plan and "__of_" not in plan
+
+
+@pytest.mark.parametrize("within, span", [(1, 30), (45, 30), (45, 3600), (7200, 3600)])
+def test_previous_instant_within(data, within, span):
+    """Fractions of a second count: 45.9 s before is within 45 whole seconds."""
+    some = data.withColumn("at", F.timestamp_micros(F.col("s").cast("long") * 1_000_000 + F.col("id") % 7 * 150_000)).select("key", "at").distinct()
+    gap = F.timestamp_diff("SECOND", "x", "at")
+    plain = some.withColumn("x", F.lag("at").over(Window.partitionBy("key").orderBy("at")))
+    found = o.with_previous_instant_within(some, ["key"], "at", "x", within, span)
+    want, got = (sorted(map(str, df.select("key", "at", F.when(gap <= within, F.col("x"))).collect())) for df in (plain, found))
+    assert got == want
+
+
+def test_previous_instant_within_reads_once(spark, tmp_path):
+    spark.sql("SELECT 'a' AS key, timestamp'2026-10-03 10:00:00' AS at").write.parquet(str(tmp_path / "t"))
+    df = o.with_previous_instant_within(spark.read.parquet(str(tmp_path / "t")), ["key"], "at", "x", 60, 3600)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 def test_a_hot_key_is_spread_over_many_groups(data):
     """No window partition of the plan is the bare key."""
     df = o.with_previous(data, ["key"], "at", {"x": F.col("id")}, 3600, ["id"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import instant, on_days, seconds, whole_seconds
 from ..functions.status import natural_route_list, route_order
-from .ordered import join_null_safe, with_neighbour_instant, with_previous
+from .ordered import join_null_safe, with_neighbour_instant, with_previous, with_previous_instant_within
 
 # A planned gap beyond an hour is missing data, not a plan; the default Bunching share.
 MAX_PLANNED_GAP_S = 3600
@@ -18,12 +18,9 @@ PLACE = ["route", "direction", "stop_id"]
 HOUR_SPAN_S = 3600
 
 
-def _gaps_ahead(dep: DataFrame, max_gap_s: int, span_s: int) -> DataFrame:
-    scheduled = dep.where(F.col("scheduled_departure").isNotNull())
-    tie = [c for c in ("departed_at", "vehicle_id", "journey_id") if c in dep.columns]
-    ahead = with_neighbour_instant(scheduled, PLACE, "scheduled_departure", "__before", span_s, tie=tie)
-    gap = whole_seconds(F.col("__before"), F.col("scheduled_departure"))
-    return ahead.withColumn("scheduled_gap_s", F.when((gap > 0) & (gap <= max_gap_s), gap)).drop("__before")
+def _gap(before: Column, max_gap_s: int) -> Column:
+    gap = whole_seconds(before, F.col("scheduled_departure"))
+    return F.when((gap > 0) & (gap <= max_gap_s), gap)
 
 
 def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: int = HOUR_SPAN_S) -> DataFrame:
@@ -32,7 +29,10 @@ def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: i
     Gaps of zero or more than ``max_gap_s`` become NULL.  A departure without a
     scheduled time stays with a NULL gap and is no one's predecessor.
     """
-    found = _gaps_ahead(dep, max_gap_s, span_s)
+    scheduled = dep.where(F.col("scheduled_departure").isNotNull())
+    tie = [c for c in ("departed_at", "vehicle_id", "journey_id") if c in dep.columns]
+    ahead = with_neighbour_instant(scheduled, PLACE, "scheduled_departure", "__before", span_s, tie=tie)
+    found = ahead.withColumn("scheduled_gap_s", _gap(F.col("__before"), max_gap_s)).drop("__before")
     kind = found.schema["scheduled_gap_s"].dataType
     none = dep.where(F.col("scheduled_departure").isNull()).withColumn("scheduled_gap_s", F.lit(None).cast(kind))
     return found.unionByName(none)
@@ -41,9 +41,14 @@ def scheduled_gaps(dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: i
 def planned_headway(
     dep: DataFrame, max_gap_s: int = MAX_PLANNED_GAP_S, span_s: int = HOUR_SPAN_S, per: str = "hour"
 ) -> DataFrame:
-    """Median scheduled gap per route, direction, stop and hour of the scheduled departure."""
-    slim = dep.select(*PLACE, "scheduled_departure")
-    gaps = _gaps_ahead(slim, max_gap_s, span_s)
+    """Median scheduled gap per route, direction, stop and hour of the scheduled departure.
+
+    Departures scheduled at the same instant have a gap of zero, which is none,
+    but for the first of them; so each instant of a place is ordered once.
+    """
+    instants = dep.where(F.col("scheduled_departure").isNotNull()).select(*PLACE, "scheduled_departure").distinct()
+    ahead = with_previous_instant_within(instants, PLACE, "scheduled_departure", "__before", max_gap_s, span_s)
+    gaps = ahead.withColumn("scheduled_gap_s", _gap(F.col("__before"), max_gap_s)).where(F.col("scheduled_gap_s").isNotNull())
     return (
         gaps.groupBy(*PLACE, F.date_trunc(per, "scheduled_departure").alias("planned_hour"))
         .agg(F.percentile_approx("scheduled_gap_s", 0.5).cast("int").alias("planned_headway_s"))
@@ -87,10 +92,10 @@ def bunching_pairs(
         PLACE,
         "departed_at",
         {
-            "leader_vehicle_id": F.col("vehicle_id"),
-            "leader_journey_id": F.col("journey_id"),
-            "leader_departed_at": F.col("departed_at"),
-            "leader_lateness_s": F.col("lateness_s"),
+            "leader_vehicle_id": "vehicle_id",
+            "leader_journey_id": "journey_id",
+            "leader_departed_at": "departed_at",
+            "leader_lateness_s": "lateness_s",
         },
         span_s,
         tie=["vehicle_id", "journey_id"],
@@ -99,7 +104,8 @@ def bunching_pairs(
         & (F.col("leader_journey_id") != F.col("journey_id"))
         & (F.col("departed_at") >= start)
     )
-    planned = planned_headway(d, max_gap_s, span_s, per)
+    # One row per place and hour: small parts to hash, so the pairs need no sort by place and hour.
+    planned = planned_headway(d, max_gap_s, span_s, per).hint("shuffle_hash")
     matched = join_null_safe(
         paired.withColumn("planned_hour", F.date_trunc(per, "scheduled_departure")), planned, [*PLACE, "planned_hour"]
     )

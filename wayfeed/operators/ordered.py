@@ -51,47 +51,65 @@ def _neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    values: Mapping[str, Column],
+    values: Mapping[str, Column | str],
     span_s: int,
     tie: Sequence[str],
     forward: bool,
     instant_only: bool = False,
 ) -> DataFrame:
     keys = list(keys)
-    packed = F.struct(*[v.alias(name) for name, v in values.items()])
-    cut = _cut(df, order, span_s).withColumn(VALUES, packed)
+    # A column given by name is read where it is; only expressions become columns of their own.
+    source = {name: v if isinstance(v, str) else f"__of_{name}" for name, v in values.items()}
+    made = {source[name]: v for name, v in values.items() if not isinstance(v, str)}
+    cut = _cut(df, order, span_s).withColumns(made) if made else _cut(df, order, span_s)
 
     # The outermost row of each span, handed to the nearest span that has rows.
     spans = Window.partitionBy(*keys).orderBy(SPAN)
     target = (F.lag if forward else F.lead)(SPAN).over(spans).alias(SPAN)
     if instant_only:
         # A plain max or min of a timestamp: a hash aggregate without any sort.
-        at = (F.min if forward else F.max)(order).alias(order)
-        edges = cut.groupBy(*keys, SPAN).agg(at).withColumn(VALUES, F.struct(F.col(order).alias(next(iter(values)))))
-        extra = edges.select(*keys, target, order, VALUES)
+        edges = cut.groupBy(*keys, SPAN).agg((F.min if forward else F.max)(order).alias(order))
+        extra = edges.select(*keys, target, order)
     else:
-        outer = (F.min_by if forward else F.max_by)(F.struct(VALUES, order, *tie), F.struct(order, *tie))
+        carried = [c for c in dict.fromkeys([order, *tie, *source.values()]) if c not in keys]
+        outer = (F.min_by if forward else F.max_by)(F.struct(*carried), F.struct(order, *tie))
         extra = cut.groupBy(*keys, SPAN).agg(outer.alias("__edge")).select(*keys, target, "__edge.*")
 
     step = F.lead if forward else F.lag
     in_span = Window.partitionBy(*keys, SPAN).orderBy(order, *tie)
-    seen = _with_extra(cut, extra).withColumn("__found", step(VALUES).over(in_span)).where(IS_ROW)
-    return seen.select(*df.columns, *[F.col(f"__found.{name}").alias(name) for name in values])
+    found = [step(c).over(in_span).alias(f"__found_{name}") for name, c in source.items()]
+    seen = _with_extra(cut, extra).select("*", *found).where(IS_ROW)
+    return seen.select(*df.columns, *[F.col(f"__found_{name}").alias(name) for name in values])
 
 
 def with_previous(df, keys, order, values, span_s, tie=()) -> DataFrame:
-    """Add ``values`` taken from the row just before, per ``keys`` in time order."""
+    """Add ``values`` (columns by name, or expressions) taken from the row just before, per ``keys`` in time order."""
     return _neighbour(df, keys, order, values, span_s, tie, forward=False)
 
 
 def with_next(df, keys, order, values, span_s, tie=()) -> DataFrame:
-    """Add ``values`` taken from the row just after, per ``keys`` in time order."""
+    """Add ``values`` (columns by name, or expressions) taken from the row just after, per ``keys`` in time order."""
     return _neighbour(df, keys, order, values, span_s, tie, forward=True)
 
 
 def with_neighbour_instant(df, keys, order, name, span_s, forward=False, tie=()) -> DataFrame:
     """Add the instant of the row just before (or after) as ``name``, per ``keys``."""
-    return _neighbour(df, keys, order, {name: F.col(order)}, span_s, tie, forward, instant_only=True)
+    return _neighbour(df, keys, order, {name: order}, span_s, tie, forward, instant_only=True)
+
+
+def with_previous_instant_within(df, keys, order, name, within_s, span_s) -> DataFrame:
+    """Add the instant of the row just before as ``name``, per ``keys``; NULL may stand for one more than ``within_s`` before.
+
+    One pass over the input: a row less than ``within_s`` (and the second that
+    whole seconds leave out) before a border is also seen by the next span.
+    """
+    span_s = max(span_s, within_s + 1)
+    last = F.col(order) + F.make_dt_interval(secs=F.lit(within_s + 1))
+    own, until = span_of(F.col(order), span_s), span_of(last, span_s)
+    seen_by = df.select("*", F.explode(F.sequence(own, until)).alias(SPAN)).withColumn(IS_ROW, F.col(SPAN) == own)
+    in_span = Window.partitionBy(*keys, SPAN).orderBy(order)
+    found = seen_by.withColumn("__found", F.lag(order).over(in_span)).where(IS_ROW)
+    return found.select(*df.columns, F.col("__found").alias(name))
 
 
 def _before_span(span_s: int) -> Column:
