@@ -112,6 +112,33 @@ def test_bunching_by_route_counts_judged_pairs(spark):
     assert (totals["departures"], totals["bunched_departures"], totals["tram_pairs"]) == (6, 3, 2)
 
 
+def test_bunching_by_route_equals_plain_aggregates(spark):
+    rng = random.Random(3)
+    data = [
+        pair(rng.choice(["1", "2", "10"]), rng.choice("kl"), rng.choice([None, "a", "b", "c"]), rng.choice("abc"), rng.choice([None, *range(9)]), rng.choice([None, 9, 9]), rng.random() < 0.6)
+        for _ in range(400)
+    ]
+    pairs = spark.createDataFrame([*data, *data[:50], pair("3", "k", "a", "b", 7, 9, False)], PAIR)
+    b = F.col("bunching")
+    plain = pairs.where("scheduled_headway_s IS NOT NULL").groupBy("route", "direction").agg(
+        F.count(F.lit(1)).alias("departures"),
+        F.count_if(b).alias("bunched_departures"),
+        (F.count_if(b) / F.count(F.lit(1))).alias("share"),
+        F.count_distinct(F.when(b, F.struct("leader_vehicle_id", "follower_vehicle_id"))).alias("tram_pairs"),
+        F.percentile(F.when(b, F.col("headway_s")), 0.5).cast("int").alias("median_headway_s"),
+    )
+    found = h.bunching_by_route(pairs)
+    assert found.dtypes == plain.dtypes and rows(found, "route") == rows(plain, "route")
+
+
+def test_bunching_by_route_keeps_no_median_per_pair(spark):
+    """The median is taken per route and direction; pairs are only counted, by hash."""
+    pairs = spark.createDataFrame([pair("1", "k", "a", "b", 30, 480, True)], PAIR)
+    plan = h.bunching_by_route(pairs)._jdf.queryExecution().executedPlan().toString()
+    medians = [line for line in plan.splitlines() if "percentile(" in line and "Aggregate" in line]
+    assert medians and not [line for line in medians if "vehicle_id" in line]
+
+
 def test_bunching_by_stop_lists_routes_in_natural_order(spark):
     at_p = [pair(r, "p", f"{r}a", f"{r}b", 40 + k, 500, True) for k, r in enumerate(["11", "2", "11", "2A"])]
     pairs = spark.createDataFrame([*at_p, pair("3", "q", "c1", "c2", 40, 500, True, name=None), pair("3", "r", "c1", "c2", 490, 500, False)], PAIR)

@@ -179,20 +179,33 @@ def bunching_now(
 
 
 def bunching_by_route(pairs: DataFrame) -> DataFrame:
-    """Judged and bunched departures per route and direction, and the pairs behind them."""
+    """Judged and bunched departures per route and direction, and the pairs behind them.
+
+    One pass counts rows by headway, which leaves few, and by pair, which is
+    shuffled by pair; a route and direction then adds up counts only.
+    """
+    line, pair = ["route", "direction"], ["leader_vehicle_id", "follower_vehicle_id"]
     judged = pairs.where(
         F.col("scheduled_headway_s").isNotNull() & F.col("route").isNotNull() & F.col("direction").isNotNull()
     )
     b = F.col("bunching")
-    both = F.struct("leader_vehicle_id", "follower_vehicle_id")
+    rows = judged.select(*line, "bunching", *[F.when(b, F.col(c)).alias(c) for c in ("headway_s", *pair)])
+    counts = (
+        rows.groupingSets([[*line, "bunching", "headway_s"], [*line, "bunching", *pair]], *line, "bunching", "headway_s", *pair)
+        .agg(F.count(F.lit(1)).alias("n"), F.grouping("headway_s").alias("is_pair"))
+        .groupBy(*line, "bunching", "headway_s", "is_pair")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+    )
+    row, pair_row = F.col("is_pair") == 0, F.col("is_pair") == 1
+    bunched = F.sum(F.when(row & b, F.col("n")).otherwise(0))
     return (
-        judged.groupBy("route", "direction")
+        counts.groupBy(*line)
         .agg(
-            F.count(F.lit(1)).alias("departures"),
-            F.count_if(b).alias("bunched_departures"),
-            (F.count_if(b) / F.count(F.lit(1))).alias("share"),
-            F.count_distinct(F.when(b, both)).alias("tram_pairs"),
-            F.percentile(F.when(b, F.col("headway_s")), 0.5).cast("int").alias("median_headway_s"),
+            F.sum(F.when(row, F.col("n"))).alias("departures"),
+            bunched.alias("bunched_departures"),
+            (bunched / F.sum(F.when(row, F.col("n")))).alias("share"),
+            F.sum(F.when(pair_row & b, F.col("different")).otherwise(0)).alias("tram_pairs"),
+            F.percentile(F.when(row & b, F.col("headway_s")), 0.5, F.col("n")).cast("int").alias("median_headway_s"),
         )
         .orderBy(F.desc("bunched_departures"), *route_order(F.col("route")), "direction")
     )
