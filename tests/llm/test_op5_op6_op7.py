@@ -297,3 +297,84 @@ def test_wide_links_bound_the_work_of_a_family(spark, monkeypatch):
     values = spark.createDataFrame(rows, "id long, print binary, keys array<int>")
     got = {r.node: r.component for r in common.components(simhash.wide_links(values, 101, 100), "test").collect()}
     assert got == {k: 0 for k in range(3020)} and dealt[0] <= 3 * 20
+
+
+def linked_by_brute_force(rows, threshold=0.98):
+    """Links and component of each id; rows are (id, vector, label)."""
+    n, links = {i: 0 for i, _, _ in rows}, []
+    for label in {la for _, _, la in rows}:
+        some = [(i, np.array(x, np.float64)) for i, x, la in rows if la == label]
+        u = np.array([x / np.sqrt(x @ x) for _, x in some])
+        for a, b in zip(*np.nonzero(np.triu(u @ u.T >= threshold, 1))):
+            links.append((some[a][0], some[b][0]))
+            n[some[a][0]] += 1
+            n[some[b][0]] += 1
+    low = reachable(list(n), links)
+    return {i: (n[i], low[i], low[i] == i) for i in n}
+
+
+@pytest.mark.parametrize("dim", [40, 6])
+def test_embeddings_of_large_labels_go_to_cells(spark, dim):
+    """A label of many cells and blocks: pairs across cuts, a dense group, and copies spread over all batches."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(900, dim))
+    x[300:600] = x[:300] + rng.normal(size=(300, dim)) * rng.choice([0.05, 0.15, 0.2], size=(300, 1))
+    x[600:760] = x[5] + rng.normal(size=(160, dim)) * 0.07
+    x[760:820] = x[7]
+    x[820:830] = np.where(np.abs(x[8]) < 0.5, 0.0, x[8])
+    x[820:825] = np.where(x[820:825] == 0, -0.0, x[820:825])
+    rows = [(int(i), [float(v) for v in row.astype(np.float32)], int(k % 10 == 9)) for k, (i, row) in enumerate(zip(rng.permutation(900), x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(7)
+    want = linked_by_brute_force(rows)
+    assert sum(n for n, _, _ in want.values()) > 5_000
+    for cell_bytes in (900 * dim, 96 << 20):
+        got = embeddings.embedding_groups(df, rows_per_tile=16, sample=400, cell_bytes=cell_bytes).collect()
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
+def test_embeddings_store_no_pairs_of_tiles(spark, tmp_path, monkeypatch):
+    """What is stored follows the links; sending a vector to each tile of its label grows with the label's size."""
+    rng = np.random.default_rng(18)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(rng.normal(size=(1500, 64)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(common, "shared_dir", lambda session, purpose: str(tmp_path / f"{purpose}-{len(list(tmp_path.iterdir()))}"))
+    assert embeddings.embedding_groups(df, rows_per_tile=64).filter("n_links = 0 and kept").count() == 1500
+    assert 0 < sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1500 * 64 * 4 / 4
+
+
+def test_cells_meet_every_close_pair_once():
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(700, 12)).astype(np.float32)
+    x[350:] = x[:350] + rng.normal(size=(350, 12)).astype(np.float32) * 0.2
+    columns = embeddings.along(x, {}, 5)
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    nodes = embeddings.grow(columns, 40)[1]
+    rows, cells, guest = embeddings.deal(nodes, columns, 0.04 + embeddings.SLACK)
+    assert sorted(rows[~guest].tolist()) == list(range(700)) and len(set(cells.tolist())) > 8
+    home = dict(zip(rows[~guest].tolist(), cells[~guest].tolist()))
+    visited = {}
+    for r, c in zip(rows[guest].tolist(), cells[guest].tolist()):
+        visited.setdefault(r, set()).add(c)
+    for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.98, 1))):
+        meets = (home[a] == home[b]) + (home[b] in visited.get(a, ())) + (home[a] in visited.get(b, ()))
+        assert meets == 1
+
+
+def test_a_cell_without_members_links_nothing():
+    cell = embeddings.Cell({}, 0.98, 4, 8, 100)
+    h, n, x = np.arange(50), np.ones(50, np.int64), np.ones((50, 8), np.float32)
+    assert not [*cell.feed(True, h, h, h, n, x), *cell.finish()]
+
+
+def test_copies_of_a_guest_count_once_wherever_batches_end():
+    """Equal guests that come in several batches are one, linked with all members close to them."""
+    cell = embeddings.Cell({}, 0.98, 4, 8, 64)
+    one, none = np.ones((1, 8), np.float32), np.zeros(1, np.int64)
+    x = np.concatenate([one, one * 2, -one, np.eye(8, dtype=np.float32)])
+    h = np.arange(len(x))
+    out = [*cell.feed(False, h, h, h + 10, np.ones(len(x), np.int64), x)]
+    for k in (7, 5, 6):
+        out += cell.feed(True, none, none, none + k, none + 2, one)
+    out += [*cell.feed(True, none + 1, none, none + 4, none + 1, -one), *cell.finish()]
+    got = sorted((r["rid"], r["links"]) for b in out for r in b.to_pylist())
+    assert got == [(4, 1), (5, 2), (10, 7), (11, 7), (12, 1)]
