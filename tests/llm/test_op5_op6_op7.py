@@ -378,3 +378,19 @@ def test_copies_of_a_guest_count_once_wherever_batches_end():
     out += [*cell.feed(True, none + 1, none, none + 4, none + 1, -one), *cell.finish()]
     got = sorted((r["rid"], r["links"]) for b in out for r in b.to_pylist())
     assert got == [(4, 1), (5, 2), (10, 7), (11, 7), (12, 1)]
+
+
+def test_a_cut_cell_is_freed_at_once():
+    """Nothing waits for the collector of cycles, which may not run while a task goes through large cells."""
+    import gc
+    import weakref
+
+    columns = np.random.default_rng(20).normal(size=(4, 500)).astype(np.float32)
+    held = weakref.ref(columns)
+    gc.disable()
+    try:
+        assert len(embeddings.grow(columns, 20)[1]) > 15
+        del columns
+        assert held() is None
+    finally:
+        gc.enable()

@@ -75,25 +75,23 @@ def grow(columns: np.ndarray, leaf: int) -> tuple[np.ndarray, Nodes]:
 
     A node is its first and last place, the column and value of its cut, and the nodes below and above it.
     """
-    order, nodes = np.arange(columns.shape[1], dtype=np.int32), []
-
-    def node(first: int, last: int, c: int) -> int:
-        me = len(nodes)
-        nodes.append((first, last, *LEAF))
+    order, nodes, todo = np.arange(columns.shape[1], dtype=np.int32), [(0, columns.shape[1], *LEAF)], [(0, 0)]
+    while todo:
+        k, c = todo.pop()
+        first, last = nodes[k][:2]
         while last - first > leaf and c < len(columns):
             v, half = columns[c][order[first:last]], (last - first) // 2
             cut = np.partition(v, half)[half]
             low = v < cut
             if low.any():
                 own = order[first:last].copy()
-                middle = first + int(low.sum())
+                middle, at = first + int(low.sum()), len(nodes)
                 order[first:middle], order[middle:last] = own[low], own[~low]
-                nodes[me] = (first, last, c, float(cut), node(first, middle, c + 1), node(middle, last, c + 1))
+                nodes[k] = (first, last, c, float(cut), at, at + 1)
+                nodes += [(first, middle, *LEAF), (middle, last, *LEAF)]
+                todo += [(at, c + 1), (at + 1, c + 1)]
                 break
             c += 1
-        return me
-
-    node(0, len(order), 0)
     return order, nodes
 
 
@@ -124,7 +122,7 @@ def visits(nodes: Nodes, start: int, columns: np.ndarray, rows: np.ndarray, apar
 def deal(nodes: Nodes, columns: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, cells, and whether the row is a guest: each row is in its own leaf, and of two leaves that close rows lie in one sends guests.
 
-    Leaves are numbered in the order of their places; of two, the lower one sends if their numbers add up to an even one, else the higher one.
+    Leaves are numbered as they come; of two, the lower one sends if their numbers add up to an even one, else the higher one.
     """
     leaves = [k for k, node in enumerate(nodes) if node[2] < 0]
     number = np.zeros(len(nodes), np.int64)
